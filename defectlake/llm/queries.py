@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from defectlake.llm import minhash
+from defectlake.llm import line_dedup, minhash, secrets, sharding
 from defectlake.llm.scratch import table
 
 
@@ -12,5 +13,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("print")
 
 
-QUERIES = {"op1_minhash": op1_minhash}
-ORACLES: dict[str, str] = {}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets}
+ORACLES = {"op9_line_dedup": line_dedup.ORACLE, "op10_secrets": secrets.oracle()}

@@ -25,7 +25,7 @@ from defectlake.llm import text as tx
 #: States, pairs and pieces that a Python worker keeps at most.
 MAX_STATES = 20_000
 MAX_PAIRS = 500_000
-MAX_PIECES = 300_000
+MAX_PIECES = 600_000
 #: Longer pieces are not kept.
 LONG_PIECE = 64
 
@@ -56,8 +56,10 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         #: Tokens that merging their own bytes gives; no other can stand in an encoding.
-        self.tokens = {token: rank for token, rank in ranks.items() if self._merged(token) == [rank]}
-        self.open = {token[:i] for token in self.tokens for i in range(1, len(token))}
+        tokens = {token: rank for token, rank in ranks.items() if self._merged(token) == [rank]}
+        self.open = {token[:i] for token in tokens for i in range(1, len(token))}
+        #: A trie by its paths: the token that ends at a node, or -1.
+        self.nodes = dict.fromkeys(self.open, -1) | tokens
         self.states: dict[tuple[int, bytes], _State] = {}
         self.pairs: dict[int, bool] = {}
         self.start = _State(-1, b"", [])
@@ -87,22 +89,31 @@ class Transducer:
         return ok
 
     def _extend(self, last: int, pending: bytes, tails: list[int]) -> None:
-        """Adds the missing last tokens: one for each prefix of ``pending``."""
-        token_of, pair = self.tokens.get, self.pairs.get
-        for end in range(len(tails) + 1, len(pending) + 1):
-            for lo in range(max(0, end - self.longest), end):
-                token = token_of(pending[lo:end])
-                if token is None:
+        """Adds the missing last tokens: one for each prefix of ``pending``.
+
+        ``live`` has the places where a token that reaches this far may begin, first ones first.
+        """
+        node_of, pair, n = self.nodes.get, self.pairs.get, len(tails)
+        live = [lo for lo in range(max(0, n - self.longest), n) if pending[lo:n] in self.nodes]
+        for end in range(n + 1, len(pending) + 1):
+            live.append(end - 1)
+            reach, token = [], -1
+            for lo in live:
+                node = node_of(pending[lo:end])
+                if node is None:
                     continue
-                before = tails[lo - 1] if lo else last
-                if before < 0:
-                    break
-                ok = pair(before << 32 | token)
-                if self._may_follow(before, token) if ok is None else ok:
-                    break
-            else:
+                reach.append(lo)
+                if token < 0 <= node:
+                    before = tails[lo - 1] if lo else last
+                    if before >= 0:
+                        ok = pair(before << 32 | node)
+                        if not (self._may_follow(before, node) if ok is None else ok):
+                            continue
+                    token = node
+            if token < 0:
                 raise ValueError("the vocabulary lacks a byte")
             tails.append(token)
+            live = reach
 
     def _bounds(self, tails: list[int], end: int) -> list[int]:
         """The token boundaries of the encoding of the first ``end`` pending bytes, last first."""

@@ -32,7 +32,9 @@ BANDS = BUCKETS // ROWS_PER_BAND
 #: Standard deviations below the wanted similarity at which an estimate still goes to verification.
 SLACK = 5.0
 #: Members of one band value that one group compares at a time.
-BLOCK = 1024
+BLOCK = 4096
+#: Hashes of a set, from the smallest up, that comparisons within a band value see.
+FINE = 1024
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -81,6 +83,23 @@ def may_pass(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (got + SLACK * np.sqrt(j * (1 - j) / np.maximum(used, 1)) >= j) & (100 * small >= percent * big)
 
 
+def close(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, bool]:
+    """Whether fine sets may link, and whether that is known for sure.
+
+    Sets of fewer than FINE hashes are whole. Of longer ones the hashes up to the smaller of
+    the two limits are a fair sample of the union.
+    """
+    cut = [x[-1] for x in (a, b) if len(x) >= FINE]
+    if cut:
+        a, b = (x[: np.searchsorted(x, min(cut), "right")] for x in (a, b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    if not cut:
+        return 100 * both >= percent * union, True
+    j = percent / 100
+    return both / union + SLACK * np.sqrt(j * (1 - j) / union) >= j, False
+
+
 def _sets(texts: tx.Texts, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, _, part in tx.chunks(texts):
@@ -150,7 +169,11 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(print, hashes) of each wanted set, from one of the documents that have it."""
+    """(print, hashes, fine) of each wanted set, from one of the documents that have it."""
+
+    def rows_of(have: list, rows: list) -> pa.RecordBatch:
+        fine = [np.unique((s[:FINE] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in rows]
+        return pa.RecordBatch.from_arrays([pa.array(have, pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["print", "hashes", "fine"])
 
     def run(batches):
         for batch in batches:
@@ -159,49 +182,65 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for p, s in zip(prints, _sets(tx.column_texts(batch.column(0)), k), strict=True):
                 if len(s) and _print_of(s) == p:
                     have.append(p)
-                    rows.append(s.view(np.int64))
+                    rows.append(s)
                 if len(have) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(have, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["print", "hashes"])
+                    yield rows_of(have, rows)
                     have, rows = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(have, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["print", "hashes"])
+            yield rows_of(have, rows)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "print").mapInArrow(run, "print binary, hashes array<long>")
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "print").mapInArrow(run, "print binary, hashes array<long>, fine binary")
     return rows.dropDuplicates(["print"])
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of one band value that no link has joined yet.
+    """Pairs within band values that have a link left to find; they go to verification.
 
-    members: (key, band, size, print, root, sketch, n_shingles). A band value with many members
-    is cut into blocks, and each pair of blocks is a group of its own. A pair that agrees in
-    several bands comes from the first of them only.
+    members: (key, band, size, print, root, sketch, n_shingles, fine). Sets that links already
+    join aren't compared, nor are those that a group has just joined, so a group gives at most
+    one pair for each set and root that meet. A band value with many members is cut into
+    blocks, and each pair of blocks is a group of its own. A pair that agrees in several bands
+    is compared in the first of them only.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("print"), blocks).cast("int")
     tiled = (
         members.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "band", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "print", "root", "sketch", "n_shingles")
+        .select("key", "band", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "print", "root", "sketch", "n_shingles", "fine")
     )
 
     def pairs_of(g) -> tuple[list, list]:
         ti, tj, band = g["ti"][0], g["tj"][0], g["band"][0]
-        own = g["own"]
-        left = np.flatnonzero(own == ti)
-        right = left if ti == tj else np.flatnonzero(own == tj)
-        lanes, regs = g["sketch"], g["sketch"].view(np.uint16)
+        left = np.flatnonzero(g["own"] == ti)
+        right = left if ti == tj else np.flatnonzero(g["own"] == tj)
+        lanes, regs, n = g["sketch"], g["sketch"].view(np.uint16), g["n"]
+        root = np.unique(g["root"], return_inverse=True)[1]
+        fine: dict[int, np.ndarray] = {}
+
+        def hashes(i):
+            if i not in fine:
+                fine[i] = np.frombuffer(g["fine"][i], np.uint32)
+            return fine[i]
+
         a_out, b_out = [], []
         for i in left:
             js = right[right > i] if ti == tj else right
-            js = js[g["root"][js] != g["root"][i]]
-            if len(js):
-                js = js[may_pass(regs[i], regs[js], g["n"][i], g["n"][js], percent)]
+            js = js[root[js] != root[i]]
             if len(js):
                 same = (lanes[js] == lanes[i]) & (lanes[i] != 0)
                 js = js[same.argmax(1) == band]
-                a_out += [g["print"][i]] * len(js)
-                b_out += list(g["print"][js])
+            if len(js):
+                js = js[may_pass(regs[i], regs[js], n[i], n[js], percent)]
+            for j in js:
+                if root[i] == root[j]:
+                    continue
+                links, sure = close(hashes(i), hashes(j), percent)
+                if links:
+                    a_out.append(g["print"][i])
+                    b_out.append(g["print"][j])
+                    if sure:
+                        root[root == root[j]] = root[i]
         return a_out, b_out
 
     def run(batches):
@@ -214,6 +253,7 @@ def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
             now["root"] = np.array(batch.column(6).to_pylist(), object)
             now["sketch"] = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
             now["n"] = batch.column(8).to_numpy()
+            now["fine"] = np.array(batch.column(9).to_pylist(), object)
             if held is not None:
                 now = {k: np.concatenate([held[k], now[k]]) for k in now}
             new = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["ti"]) != 0) | (np.diff(now["tj"]) != 0)) + 1
@@ -238,7 +278,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
 
     Sets link when 100 * intersection >= percent * union. Rows of equal sets are one class, so
     copies are never paired. Of each band value the members are first compared with one of
-    them; the sets that are then still apart are compared with each other.
+    them, drawn anew for each value; the sets that are then still apart are compared with each
+    other.
 
     Defined cases: a null, empty or blank text has n_shingles 0 and is linked with nothing; a
     text of fewer than ``k`` words has its whole sequence as one shingle; repeated rows are
@@ -251,16 +292,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     classes = keep(classes, "classes")
     sets = keep(rows.where("print is not null").join(classes, (rows["print"] == classes["print"]) & rows["doc_id"].eqNullSafe(classes["rep"])).select(rows["print"], "rep", "n_shingles", "sketch").dropDuplicates(["print"]), "sets")
     bands = sets.select("print", F.posexplode("sketch").alias("band", "value")).where("value <> 0").select("print", "band", F.xxhash64("band", "value").alias("key"))
-    shared = keep(bands.groupBy("key").agg(F.count("*").alias("size"), F.min("print").alias("pivot")).where("size > 1"), "shared")
+    bands = bands.withColumn("draw", F.xxhash64("key", "print"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("draw").alias("low")).where("size > 1")
     members = keep(bands.join(shared, "key"), "members")
-    star = members.where("print <> pivot").select(F.col("print").alias("a"), F.col("pivot").alias("b")).distinct()
+    pivots = members.where("draw = low").select("key", F.col("print").alias("b"))
+    star = members.select("key", F.col("print").alias("a")).join(pivots, "key").where("a <> b")
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wanted = members.select("print").distinct().join(sets.select("print", "rep"), "print")
     full = keep(_full_sets(docs, wanted, k), "full")
     links = keep(_verified(_filtered(star, sets, percent), full, percent), "links")
     roots = keep(components(links, "near"), "roots")
     placed = members.join(roots, members["print"] == roots["node"], "left").select("key", "band", "size", "print", F.coalesce("root", "print").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key").join(sets.select("print", "sketch", "n_shingles"), "print")
+    rest = placed.join(mixed, "key").join(sets.select("print", "sketch", "n_shingles"), "print").join(full.select("print", "fine"), "print")
     more = _verified(_cross_pairs(rest, percent), full, percent)
     met = components(links.union(more), "all")
     of_set = classes.join(met, classes["print"] == met["node"], "left").select(classes["print"], "rep", F.coalesce("root", classes["print"]).alias("root"))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm import bpe, decontaminate, line_dedup, minhash, secrets, sharding
+from defectlake.llm import bpe, decontaminate, langid, line_dedup, minhash, quality, secrets, sharding
 from defectlake.llm.scratch import table
 
 
@@ -20,6 +20,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -30,6 +34,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets}
+QUERIES = {"op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets}
 ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_secrets": secrets.oracle()}

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm import bpe, decontaminate, langid, line_dedup, minhash, ppm, quality, secrets, sharding
+from defectlake.llm import bpe, decontaminate, embeddings, langid, line_dedup, minhash, ppm, quality, secrets, sharding
 from defectlake.llm.scratch import table
 
 
@@ -24,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op5_lm_score": op5_lm_score, "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets}
+QUERIES = {"op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_embeddings": op4_embeddings, "op5_lm_score": op5_lm_score, "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets}
 ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_secrets": secrets.oracle()}

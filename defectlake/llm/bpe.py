@@ -296,11 +296,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids joined by commas and of the decoded text."""
+def digest(decoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids joined by commas and of the decoded text; then ``more`` columns."""
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+        *more,
     )

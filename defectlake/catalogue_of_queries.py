@@ -1,4 +1,6 @@
 """All queries of the library by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from defectlake.plans import authentic, synthetic, validation
+
+QUERIES = {**authentic.QUERIES, **synthetic.QUERIES, **validation.QUERIES}
+ORACLES = {**authentic.ORACLES, **synthetic.ORACLES, **validation.ORACLES}

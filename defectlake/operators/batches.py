@@ -56,12 +56,13 @@ def compare_profiles(target: DataFrame, observed: DataFrame, tolerance: float) -
     batches = observed.groupBy(*BATCH).agg(F.max("observed_denominator").alias("n"))
     grid = batches.crossJoin(F.broadcast(target.select("defect", "target", F.col("standard_error").alias("target_standard_error"))))
     rows = grid.join(observed.drop("observed_denominator"), [*BATCH, "defect"], "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
-    rows = rows.withColumn("observed_denominator", F.col("n")).withColumn("observed_count", F.when(F.col("n") > 0, F.coalesce("observed_count", F.bround(F.col("observed") * F.col("n")).cast("long"))))
-    low, high = wilson("observed_count", "n")
-    measured = F.col("n") > 0
-    rows = rows.withColumn("observed_interval_low", F.when(measured, low)).withColumn("observed_interval_high", F.when(measured, high)).withColumn("difference", F.col("target") - F.col("observed"))
+    rows = rows.withColumn("observed_count", F.coalesce("observed_count", F.bround(F.col("observed") * F.col("n")).cast("long"), F.lit(0).cast("long")))
+    rows = rows.withColumn("observed_denominator", F.coalesce("n", F.lit(0).cast("long"))).withColumn("target_standard_error", F.coalesce("target_standard_error", F.lit(0.0)))
+    low, high = wilson("observed_count", "observed_denominator")
+    measured = F.col("observed_denominator") > 0
+    rows = rows.withColumn("observed_interval_low", low).withColumn("observed_interval_high", high).withColumn("difference", F.col("target") - F.col("observed"))
     own = (F.col("observed_interval_high") - F.col("observed_interval_low")) / (2 * Z)
-    margin = Z * F.sqrt(F.pow(F.coalesce("target_standard_error", F.lit(0.0)), 2) + F.pow(own, 2))
+    margin = Z * F.sqrt(F.pow("target_standard_error", F.lit(2)) + F.pow(own, F.lit(2)))
     plain = F.abs("target") * tolerance
     rows = rows.withColumn("allowed_difference", F.when(measured, F.greatest(plain, margin)).otherwise(plain)).drop("n")
     over, under = F.col("difference") < -F.col("allowed_difference"), F.col("difference") > F.col("allowed_difference")

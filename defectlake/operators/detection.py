@@ -17,6 +17,15 @@ def check_rules(wanted: tuple[str, ...]) -> None:
         raise ValueError(f"unknown defects: {', '.join(unknown)}")
 
 
+def spread(submissions: DataFrame) -> DataFrame:
+    """``submissions`` dealt over all cores where its files give fewer parts than there are cores.
+
+    Reading source is the heavy step, and a table of few files would leave most cores idle.
+    """
+    cores = submissions.sparkSession.sparkContext.defaultParallelism
+    return submissions.repartition(cores) if submissions.rdd.getNumPartitions() < cores else submissions
+
+
 def findings(source: str | Column, wanted: tuple[str, ...] = rules.ACTIVE, required: tuple[str, ...] = ()) -> Column:
     """A struct (error, notes, found by defect) of a source column, each source parsed once."""
     check_rules(wanted)

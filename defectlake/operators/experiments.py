@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from defectlake.operators.batches import BATCH, MEASURES
 
+BASELINE, ITERATIVE = "non_adaptive_baseline", "task_aware_iterative"
 METRICS = ("functional_pass_rate", "independent_coverage", "dependent_coverage", "category_requirement_rate", "mae", "rmse", "within_tolerance_rate")
 
 
@@ -19,10 +20,10 @@ def iteration_metrics(comparison: DataFrame, quality: DataFrame, conditions: Dat
     errors = comparison.groupBy(*BATCH).agg(F.avg(F.abs("difference")).alias("mae"), F.sqrt(F.avg(F.pow("difference", F.lit(2)))).alias("rmse"), F.avg((F.col("status") == "Within tolerance").cast("double")).alias("within_tolerance_rate"))
     joined = quality.join(errors, BATCH, "left").join(F.broadcast(conditions.select("run_id", "condition")), "run_id")
     filled = joined.fillna({"mae": 0.0, "rmse": 0.0, "within_tolerance_rate": 1.0})
-    return filled.withColumn("category_requirement_rate", F.when(F.col("condition") != "baseline", F.col("category_requirement_rate")))
+    return filled.withColumn("category_requirement_rate", F.when(F.col("condition") != BASELINE, F.col("category_requirement_rate")))
 
 
-def select_iteration(metrics: DataFrame, accepted: DataFrame, iterative: str = "iterative") -> DataFrame:
+def select_iteration(metrics: DataFrame, accepted: DataFrame, iterative: str = ITERATIVE) -> DataFrame:
     """(run_id, condition, selected_iteration, iteration_count, stop_reason) per run.
 
     An iterative run ends with its first accepted iteration. Without one, the choice is among

@@ -18,7 +18,7 @@ def target_rows(profile: DataFrame, eligibility: DataFrame) -> DataFrame:
 def authentic_task_rows(report: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per authentic task its role and totals, by lab and question as numbers; other labels come last."""
     lab, question = label_numbers("authentic_task")
-    rows = report.groupBy("authentic_task", "task_id").agg(F.first("functionally_correct").alias("functionally_correct"), F.first("parseable").alias("parseable"), F.count_if("denominator > 0").alias("eligible_defects"))
+    rows = report.groupBy("authentic_task", "task_id").agg(F.first("functionally_correct").alias("functionally_correct"), F.first("parseable").alias("parseable"), F.count_if(F.col("denominator") > 0).alias("eligible_defects"))
     return rows.join(F.broadcast(catalog.select("authentic_task", "role")), "authentic_task", "left").withColumn("lab", lab).withColumn("question", question).orderBy("lab", "question", "authentic_task")
 
 

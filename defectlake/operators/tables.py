@@ -10,7 +10,7 @@ from defectlake.functions.columns import file_name, label_numbers, true_names
 
 VALIDATION_COLUMNS = ("submission_id", "authentic_task", "task_id", "task_family", "lab", "question", "source_row", "test_mode", "status", "functionally_correct", "tests_passed", "tests_failed", "timed_out", "failure_message", "error", "source_code")
 TERMINAL = ("completed", "failed", "cancelled")
-STATUSES = ("queued", "running", "cancelling", *TERMINAL)
+STATUSES = ("draft", "running", "cancelling", *TERMINAL)
 ITERATION = ["run_id", "task_id", "iteration_number"]
 ORDER_IN_INDEX = ("lab", "question")
 
@@ -19,7 +19,7 @@ def write_validation_sets(results: DataFrame, path: str) -> None:
     """All rows, and the correct ones, as CSV in fixed columns, by task and source row."""
     rows = results.select(*VALIDATION_COLUMNS).orderBy("authentic_task", "source_row")
     for name, part in (("all", rows), ("correct", rows.where("functionally_correct"))):
-        part.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/{name}")
+        part.write.mode("overwrite").options(header=True, quote="\"", escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{name}")
 
 
 def task_index(catalog: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def read_labels_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") ->
     return labels_of_lines(_numbered_lines(spark, path, glob))
 
 
-def logs_of_lines(lines: DataFrame, record_type: str = "experiment") -> DataFrame:
+def logs_of_lines(lines: DataFrame, record_type: str = "synthetic_generation_experiment") -> DataFrame:
     """Experiment records of JSON lines (value, file, line); blank, malformed and other lines are skipped."""
     rows = lines.where(F.trim("value") != "").select("file", "line", F.from_json("value", LOG).alias("r"))
     return rows.where(F.col("r.record_type") == record_type).select("file", "line", "r.*")
@@ -122,7 +122,7 @@ def parse_iteration_payload(rows: DataFrame, column: str = "payload_json") -> Da
     own = F.transform(F.coalesce("p.submissions", F.array().cast("array<struct<submission_id: int, status: string, defects: map<string, boolean>, assigned_defects: array<string>, generation_attempts: int, category_requirements_met: boolean>>")), lambda s: F.struct(
         s["submission_id"].alias("submission_id"), s["status"].alias("status"), F.coalesce(s["defects"], F.create_map().cast("map<string, boolean>")).alias("defects"), F.coalesce(s["assigned_defects"], F.array().cast("array<string>")).alias("assigned_defects"),
         F.coalesce(s["generation_attempts"], F.lit(1)).alias("generation_attempts"), F.coalesce(s["category_requirements_met"], F.lit(False)).alias("category_requirements_met")))
-    return read.select(*[c for c in rows.columns if c not in (column, "iteration", "condition", "accepted")], F.col("p.iteration").alias("iteration"), fill("condition", F.lit("iterative_calibration")).alias("condition"), fill("accepted", F.lit(False)).alias("accepted"), fill("constraints", F.create_map().cast("map<string, string>")).alias("constraints"), F.col("p.target_profile").alias("target_profile"), F.coalesce("p.comparison", F.array().cast(COMPARISON)).alias("comparison"), own.alias("submissions"))
+    return read.select(*[c for c in rows.columns if c not in (column, "iteration", "condition", "accepted")], F.col("p.iteration").alias("iteration"), fill("condition", F.lit("task_aware_non_adaptive")).alias("condition"), fill("accepted", F.lit(False)).alias("accepted"), fill("constraints", F.create_map().cast("map<string, string>")).alias("constraints"), F.col("p.target_profile").alias("target_profile"), F.coalesce("p.comparison", F.array().cast(COMPARISON)).alias("comparison"), own.alias("submissions"))
 
 
 def load_target_values(profile: DataFrame, task: str) -> DataFrame:

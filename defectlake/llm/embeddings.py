@@ -1,12 +1,17 @@
 """Near-duplicate vectors by spherical-cap filters from random product codes.
 
 A vector is cut into two blocks; a filter direction is a pair of random unit codewords, one per
-block, so all filters near a vector can be listed block by block. Each vector is stored in the
-filter nearest to it, and listed in every filter whose cosine reaches what a vector within the
-wanted angle of it could have with its own nearest filter. Of two close vectors, the one
-nearer to its filter is stored there and the other is listed there: turning by at most the
-wanted angle cannot take it further. So each close pair meets in exactly one filter, and none
-is missed; the pairs that meet are compared in double precision.
+block. Each vector is stored in the filter nearest to it, and listed in every filter whose
+cosine reaches what a vector within the wanted angle of it could have with its own nearest
+filter. Of two close vectors, the one nearer to its filter is stored there and the other is
+listed there: turning by at most the wanted angle cannot take it further. So each close pair
+meets in exactly one filter, and none is missed; the pairs that meet are compared in double
+precision.
+
+Lists are decoded in two steps: rows are dealt by label and codeword of the first block, to
+those that some codeword of the second block can complete, and the second block is decoded
+where rows meet, against the filters that hold a vector there. That moves a row for each first
+codeword in place of one for each filter.
 """
 
 from __future__ import annotations
@@ -22,39 +27,44 @@ from defectlake.llm.components import components
 from defectlake.llm.scratch import keep
 
 COSINE = 0.98
-CODEWORDS = 64
-#: Stored or listed vectors of one filter that one group compares at a time.
+#: Codewords of the first and second block.
+CODEWORDS = (32, 1024)
+#: Stored or listed vectors of one first codeword that one group compares at a time.
 BLOCK = 4096
 #: Guards the lists against rounding; comparisons don't use it.
 MARGIN = 1e-6
 
 
-def codebooks(dims: int, codewords: int = CODEWORDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Unit codewords of the two blocks of a vector of ``dims`` components."""
+def codebooks(dims: int, codewords: tuple[int, int] = CODEWORDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Codewords of the two blocks of a vector of ``dims`` components, scaled so that a pair is a unit vector."""
     draw = np.random.default_rng([seed, dims])
     half = dims // 2
-    books = [draw.standard_normal((codewords, n)) for n in (half, dims - half)]
-    return tuple(b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300) for b in books)
+    books = [draw.standard_normal((k, n)) for k, n in zip(codewords, (half, dims - half), strict=True)]
+    weight = np.sqrt(0.5) if dims > 1 else 1.0
+    return tuple(weight * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300) for b in books)
 
 
-def list_filters(unit: np.ndarray, cosine: float, codewords: int = CODEWORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nearest filter and its cosine for each unit vector, and the (vector, filter) lists."""
-    dims = unit.shape[1]
-    first, second = codebooks(dims, codewords)
-    weight = np.sqrt(0.5) if dims > 1 else 1.0
-    a, b = unit[:, : dims // 2] @ first.T * weight, unit[:, dims // 2 :] @ second.T * weight
-    best = a.argmax(1) * codewords + b.argmax(1)
-    near = np.clip(a.max(1) + b.max(1), -1, 1)
-    least = np.cos(np.minimum(np.arccos(near) + np.arccos(cosine), np.pi)) - MARGIN
-    rows, filters = [], []
-    top = b.max(1)
-    for i in range(len(unit)):
-        for c in np.flatnonzero(a[i] + top[i] >= least[i]):  # blocks whose best end falls short are left out
-            hit = np.flatnonzero(a[i, c] + b[i] >= least[i])
-            rows.append(np.full(len(hit), i))
-            filters.append(c * codewords + hit)
-    none = np.zeros(0, np.int64)
-    return best, near, np.concatenate(rows) if rows else none, np.concatenate(filters) if filters else none
+class Caps:
+    """What unit vectors have with the filters."""
+
+    def __init__(self, unit: np.ndarray, cosine: float, books: tuple[np.ndarray, np.ndarray]):
+        half = unit.shape[1] // 2
+        self.first, second = unit[:, :half] @ books[0].T, unit[:, half:] @ books[1].T
+        #: The nearest filter by its two codewords, and its cosine.
+        self.nearest, self.near = (self.first.argmax(1), second.argmax(1)), np.clip(self.first.max(1) + second.max(1), -1, 1)
+        #: The cosine from which on a filter lists the vector.
+        self.least = np.cos(np.minimum(np.arccos(self.near) + np.arccos(cosine), np.pi)) - MARGIN
+        self.second_max = second.max(1)
+
+    def first_codewords(self) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, codeword) of the first codewords that a second one can complete."""
+        return np.nonzero(self.first + self.second_max[:, None] >= self.least[:, None])
+
+
+def listed_in(unit: np.ndarray, least: np.ndarray, first: int, second: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether each vector is listed in the filters of a first and each of some second codewords."""
+    half = unit.shape[1] // 2
+    return (unit[:, :half] @ books[0][first])[:, None] + unit[:, half:] @ books[1][second].T >= least[:, None]
 
 
 def _marked(vectors: DataFrame) -> DataFrame:
@@ -78,41 +88,47 @@ def _marked(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"vec_id long, label string, print binary, vector array<{'float' if single else 'double'}>")
 
 
-LISTED = "label string, dims int, filter int, stored boolean, near double, print binary, copies long, vector {vector}"
+LISTED = "label string, dims int, first int, stored boolean, second int, near double, least double, print binary, copies long, vector {vector}"
+
+
+def _unit(column: pa.Array, dims: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    x = x / np.abs(x).max(1, keepdims=True)  # no overflow in squares
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listed(classes: DataFrame, cosine: float, codewords: int) -> DataFrame:
-    """Each class once as stored in its nearest filter, and once as listed in each of its filters."""
+def _listed(classes: DataFrame, cosine: float, codewords: tuple[int, int]) -> DataFrame:
+    """Each class once as stored in its nearest filter, and once as listed with each first codeword."""
 
     def run(batches):
         for batch in batches:
             sizes = batch.column(2).value_lengths().to_numpy()
             for dims in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dims))
-                x = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-                scale = x / np.abs(x).max(1, keepdims=True)  # no overflow in squares
-                unit = scale / np.linalg.norm(scale, axis=1, keepdims=True)
-                best, near, rows, filters = list_filters(unit, cosine, codewords)
-                for stored, at, f in ((True, np.arange(len(x)), best), (False, rows, filters)):
+                caps = Caps(_unit(part.column(2), dims), cosine, codebooks(dims, codewords))
+                rows, first = caps.first_codewords()
+                for stored, at, f in ((True, np.arange(part.num_rows), caps.nearest[0]), (False, rows, first)):
                     for lo in range(0, len(at), 8192):
-                        some = part.take(pa.array(at[lo : lo + 8192]))
-                        n = some.num_rows
+                        own = at[lo : lo + 8192]
+                        some, n = part.take(pa.array(own)), len(own)
+                        second = caps.nearest[1][own] if stored else np.full(n, -1)
                         yield pa.RecordBatch.from_arrays(
-                            [some.column(0), pa.array(np.full(n, dims, np.int32)), pa.array(f[lo : lo + 8192].astype(np.int32)), pa.array(np.full(n, stored)), pa.array(near[at[lo : lo + 8192]]), some.column(1), some.column(3), some.column(2)],
-                            ["label", "dims", "filter", "stored", "near", "print", "copies", "vector"],
+                            [some.column(0), pa.array(np.full(n, dims, np.int32)), pa.array(f[lo : lo + 8192].astype(np.int32)), pa.array(np.full(n, stored)), pa.array(second.astype(np.int32)), pa.array(caps.near[own]), pa.array(caps.least[own]), some.column(1), some.column(3), some.column(2)],
+                            ["label", "dims", "first", "stored", "second", "near", "least", "print", "copies", "vector"],
                         )
 
     return classes.select("label", "print", "vector", "copies").mapInArrow(run, LISTED.format(vector=classes.schema["vector"].dataType.simpleString()))
 
 
-def _pairs(listed: DataFrame, cosine: float) -> DataFrame:
-    """(node, links, peer) per class and group of a filter: rows linked there, and one class to join it to.
+def _pairs(listed: DataFrame, cosine: float, codewords: tuple[int, int]) -> DataFrame:
+    """(node, links, peer) per class and group: rows linked there, and one class to join it to.
 
-    Stored and listed classes of a large filter are cut into blocks, and each pair of blocks is
-    a group. What leaves a group is a row for each class that has links there, not the links.
+    Stored and listed classes of a first codeword with many of them are cut into blocks, and
+    each pair of blocks is a group. What leaves a group is a row for each class that has links
+    there, not the links.
     """
-    at = ["label", "dims", "filter"]
-    sizes = listed.groupBy(*at).agg(F.count_if("stored").alias("n_stored"), F.count_if(~F.col("stored")).alias("n_listed")).where("n_stored > 0")
+    at = ["label", "dims", "first"]
+    sizes = keep(listed.groupBy(*at).agg(F.count_if("stored").alias("n_stored"), F.count_if(~F.col("stored")).alias("n_listed")).where("n_stored > 0"), "sizes")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     hashed = F.xxhash64("print")
     own = F.when(F.col("stored"), F.pmod(hashed, blocks("n_stored"))).otherwise(F.pmod(hashed, blocks("n_listed"))).cast("int")
@@ -121,11 +137,13 @@ def _pairs(listed: DataFrame, cosine: float) -> DataFrame:
     tiled = tiled.withColumn("i", F.when(F.col("stored"), F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("stored"), F.col("other")).otherwise(F.col("own")))
     order = [*at, "i", "j"]
 
-    def links_of(stored, near, prints, copies, x) -> tuple[list, list, list]:
+    def links_of(first, stored, second, near, least, prints, copies, x) -> tuple[list, list, list]:
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         s, w = np.flatnonzero(stored), np.flatnonzero(~stored)
         if not len(s) or not len(w):
             return [], [], []
+        used, filter_of = np.unique(second[s], return_inverse=True)
+        hits = listed_in(x[w] / norm[w, None], least[w], first, used, codebooks(x.shape[1], codewords))
         keys = np.array(prints, object)
         count = np.zeros(len(x), np.int64)
         leader = np.arange(len(x))
@@ -136,13 +154,11 @@ def _pairs(listed: DataFrame, cosine: float) -> DataFrame:
                 k = leader[k]
             return k
 
-        unit = x / norm[:, None]
         for lo in range(0, len(s), 512):
-            block = s[lo : lo + 512]
-            a, b = np.nonzero(unit[block] @ unit[w].T >= cosine - 1e-9)
-            p, q = block[a], w[b]
-            first = (near[p] > near[q]) | ((near[p] == near[q]) & (keys[p] < keys[q]))
-            p, q = p[first], q[first]
+            b, a = np.nonzero(hits[:, filter_of[lo : lo + 512]])
+            p, q = s[lo + a], w[b]
+            ahead = (near[p] > near[q]) | ((near[p] == near[q]) & (keys[p] < keys[q]))
+            p, q = p[ahead], q[ahead]
             for at in range(0, len(p), 1 << 16):
                 pp, qq = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
                 sure = np.einsum("ij,ij->i", x[pp], x[qq]) / (norm[pp] * norm[qq]) >= cosine
@@ -169,16 +185,17 @@ def _pairs(listed: DataFrame, cosine: float) -> DataFrame:
             yield group(held)
 
     def group(g: pa.RecordBatch) -> pa.RecordBatch:
-        x = g.column(9).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(g.num_rows, -1)
+        x = g.column(11).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(g.num_rows, -1)
         x = x / np.abs(x).max(1, keepdims=True)
-        out = links_of(g.column(5).to_numpy(zero_copy_only=False), g.column(6).to_numpy(), g.column(7).to_pylist(), g.column(8).to_numpy(), x)
+        stored, second, near, least = (g.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7, 8))
+        out = links_of(g.column(2)[0].as_py(), stored, second, near, least, g.column(9).to_pylist(), g.column(10).to_numpy(), x)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["node", "links", "peer"])
 
-    rows = tiled.select(*order, "stored", "near", "print", "copies", "vector").repartition(*order).sortWithinPartitions(*order)
+    rows = tiled.select(*order, "stored", "second", "near", "least", "print", "copies", "vector").repartition(*order).sortWithinPartitions(*order)
     return rows.mapInArrow(run, "node binary, links long, peer binary")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, codewords: int = CODEWORDS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, codewords: tuple[int, int] = CODEWORDS) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Rows are linked when their labels are equal and not null and the cosine is at least
@@ -190,7 +207,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, codewords: int =
     """
     rows = keep(_marked(vectors), "vectors")
     classes = keep(rows.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")), "classes")
-    met = keep(_pairs(_listed(classes, cosine, codewords), cosine), "met")
+    met = keep(_pairs(_listed(classes, cosine, codewords), cosine, codewords), "met")
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("node").alias("u"), F.col("peer").alias("v")), "vectors")
     joined = classes.select("print", "rep", "copies").join(links, F.col("print") == F.col("node"), "left").drop("node")

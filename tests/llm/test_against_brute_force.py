@@ -145,11 +145,13 @@ def test_every_close_pair_meets_in_a_filter():
         w = v + 0.19 * (lambda n: n / np.linalg.norm(n, axis=1, keepdims=True))(draw.standard_normal((400, dims)))
         w /= np.linalg.norm(w, axis=1, keepdims=True)
         both = np.concatenate([v, w])
-        best, near, rows, filters = embeddings.list_filters(both, 0.98)
-        listed = set(zip(rows.tolist(), filters.tolist(), strict=True))
+        books = embeddings.codebooks(dims)
+        caps = embeddings.Caps(both, 0.98, books)
+        dealt = set(zip(*(x.tolist() for x in caps.first_codewords()), strict=True))
         for i in np.flatnonzero((v * w).sum(1) >= 0.98):
-            a, b = (i, i + 400) if near[i] >= near[i + 400] else (i + 400, i)
-            assert (b, best[a]) in listed
+            a, b = (i, i + 400) if caps.near[i] >= caps.near[i + 400] else (i + 400, i)
+            c, d = caps.nearest[0][a], caps.nearest[1][a]
+            assert (b, c) in dealt and embeddings.listed_in(both[b : b + 1], caps.least[b : b + 1], c, np.array([d]), books).all()
 
 
 def test_ppm(spark):

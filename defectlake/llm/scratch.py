@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Tells this program's tables from those of others in the same folder.
+RUN = uuid.uuid4().hex
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,7 +27,13 @@ def folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/defectlake/{uuid.uuid4().hex}/{name}"
+    return f"{folder(spark)}/defectlake/{RUN}/{uuid.uuid4().hex}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this program has kept; results that read them must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/defectlake/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

@@ -77,3 +77,14 @@ def test_scores_are_in_range(spark, odd_documents):
     for df in (quality.classify(odd_documents, _labels(spark)), langid.identify(odd_documents)):
         assert df.where(F.col("score").isNull() | ~F.col("score").between(0, 1)).count() == 0
     assert {r.lang_pred for r in langid.identify(odd_documents).where("doc_id in (3, 4, 5)").collect()} == {"und"}
+
+
+def test_kept_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from defectlake.llm import scratch
+
+    table = scratch.keep(spark.range(3), "three")
+    assert table.count() == 3 and list(Path(f"{scratch.folder(spark)}/defectlake/{scratch.RUN}").iterdir())
+    scratch.clear(spark)
+    assert not Path(f"{scratch.folder(spark)}/defectlake/{scratch.RUN}").exists()

@@ -176,11 +176,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(have, pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["print", "hashes", "fine"])
 
     def run(batches):
+        last = None  # repeated rows of a document come one after the other
         for batch in batches:
             prints = batch.column(1).to_pylist()
             have, rows = [], []
             for p, s in zip(prints, _sets(tx.column_texts(batch.column(0)), k), strict=True):
-                if len(s) and _print_of(s) == p:
+                if len(s) and p != last and _print_of(s) == p:
+                    last = p
                     have.append(p)
                     rows.append(s)
                 if len(have) >= 256:
@@ -189,8 +191,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield rows_of(have, rows)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "print").mapInArrow(run, "print binary, hashes array<long>, fine binary")
-    return rows.dropDuplicates(["print"])
+    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "print").mapInArrow(run, "print binary, hashes array<long>, fine binary")
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:

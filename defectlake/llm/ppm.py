@@ -8,8 +8,9 @@ one could have given are excluded. Below the empty context the bytes not seen ar
 likely. A text ends with a zero byte, and ORDER zero bytes stand before it.
 
 Counts are of all training documents. Tasks count runs of ORDER + 1 bytes, from which all
-shorter contexts follow, and Spark sums them; likewise words. The runs that the trie is made of
-are sent to all tasks, at most MAX_RUNS of them, the most frequent ones.
+shorter contexts follow, and Spark sums them; likewise words. The log probability of each
+distinct run comes from the counts of all runs, by joins from the shortest context up. Those of
+the FREQUENT_RUNS most frequent runs are sent to all tasks; all others are joined.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from defectlake.llm import text as tx
@@ -25,8 +26,8 @@ from defectlake.llm.langid import held_out
 from defectlake.llm.scratch import keep
 
 ORDER = 5
-#: Bounds what the trie takes in each worker; as in any PPM coder, its size is a parameter.
-MAX_RUNS = 4_000_000
+#: Byte runs whose log probabilities every task has; those of all others are joined.
+FREQUENT_RUNS = 4_000_000
 #: Words whose counts every task has; the counts of all others are joined.
 FREQUENT_WORDS = 200_000
 #: Distinct keys that a task gathers before it sends them on.
@@ -58,10 +59,10 @@ class _Gathered:
     def __init__(self):
         self.keys, self.counts, self.size = [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, times: int = 1) -> None:
         k, c = np.unique(keys, return_counts=True)
         self.keys.append(k)
-        self.counts.append(c)
+        self.counts.append(c * times)
         self.size += len(k)
         if self.size > GATHER:
             self._merge()
@@ -80,7 +81,10 @@ class _Gathered:
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over all ``docs`` (text): words by hash (kind 0) and byte runs (kind 1)."""
+    """(kind, key, n) over all ``docs`` (text, trains): words by hash (kind 0) and byte runs (kind 1).
+
+    n counts the training rows; the runs of the other rows are there too, with n 0 if no training row has them.
+    """
 
     def batch_of(kind: int, gathered: _Gathered):
         keys, n = gathered.take()
@@ -89,42 +93,65 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n[lo : lo + (1 << 17)])], ["kind", "key", "n"])
 
     def run(batches):
+        _tables.clear()  # of an earlier model
         kinds = {_WORD: _Gathered(), _RUN: _Gathered()}
         for batch in batches:
-            for _, _, part in tx.chunks(tx.column_texts(batch.column(0))):
-                kinds[_RUN].add(_byte_runs(part)[0])
-                low = part.lowered()
-                kinds[_WORD].add(tx.word_hashes(low.data, *tx.word_spans(low, tx.NOT_SPACE)[:2]))
-                for kind, gathered in kinds.items():
-                    if gathered.size > GATHER:
-                        yield from batch_of(kind, gathered)
+            trains = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for own in (True, False):
+                texts = batch.column(0).filter(pa.array(trains == own))
+                for _, _, part in tx.chunks(tx.column_texts(texts)) if len(texts) else ():
+                    kinds[_RUN].add(_byte_runs(part)[0], int(own))
+                    if own:
+                        low = part.lowered()
+                        kinds[_WORD].add(tx.word_hashes(low.data, *tx.word_spans(low, tx.NOT_SPACE)[:2]))
+                    for kind, gathered in kinds.items():
+                        if gathered.size > GATHER:
+                            yield from batch_of(kind, gathered)
         for kind, gathered in kinds.items():
             yield from batch_of(kind, gathered)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-class Trie:
-    """The byte contexts of all orders, each order as sorted arrays."""
-
-    def __init__(self, runs: np.ndarray, counts: np.ndarray):
-        self.levels = []
-        for k in range(ORDER + 1):
-            grams, inverse = np.unique(runs & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            n = np.bincount(inverse, counts, len(grams))
-            contexts, begin = np.unique(grams >> np.uint64(8), return_index=True)
-            total = np.add.reduceat(n, begin) if len(begin) else n
-            distinct = np.diff(np.append(begin, len(grams))).astype(np.float64)
-            level = {"grams": grams, "n": n, "contexts": contexts, "total": total, "distinct": distinct}
-            if k and len(grams):  # what the next shorter context gave to the symbols seen here
-                below = self.levels[-1]
-                short = np.searchsorted(below["grams"], grams & np.uint64((1 << 8 * k) - 1))
-                level["excluded"] = np.add.reduceat(below["n"][short], begin)
-            self.levels.append(level)
-        #: Log probabilities of the runs themselves, in a table addressed by hash.
+    return docs.select(F.col("text").cast("string"), "trains").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def log_probabilities(runs: DataFrame) -> DataFrame:
+    """(key, n, log) of all ``runs`` (key, n): log10 of the probability of a run's last byte after those before it.
+
+    A run of each order meets the one without its first byte, which at most 256 runs share, and
+    the at most 256 runs of its context. ``below`` is the log probability after an escape from
+    the context, whose symbols the shorter one can't give then.
+    """
+    known = None
+    for k in range(ORDER + 1):
+        rows = runs.select("key", "n")
+        if k < ORDER:
+            rows = rows.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        if k:
+            rows = rows.withColumn("shorter", F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(known, "shorter")
+        context = Window.partitionBy(F.shiftright("key", 8))
+        rows = rows.withColumns({"total": F.sum("n").over(context), "distinct": F.count_if(F.col("n") > 0).over(context)})
+        if k:
+            gone = F.sum(F.when(F.col("n") > 0, F.col("n_0")).otherwise(0)).over(context)
+            rows = rows.withColumns({"free": F.col("distinct_0") - F.col("distinct"), "all": F.greatest(F.col("total_0") - gone + F.col("distinct_0") - F.col("distinct"), F.lit(1))})
+            # Where every symbol is excluded, the escape is certain.
+            below = F.when(F.col("n_0") > 0, F.log10(F.col("n_0") / F.col("all"))).when(F.col("free") > 0, F.log10(F.col("free") / F.col("all")) + F.col("below_0")).otherwise(F.col("below_0"))
+        else:
+            below = -F.log10(F.greatest(256 - F.col("distinct"), F.lit(1)))
+        rows = rows.withColumn("below", below)
+        size = F.greatest(F.col("total") + F.col("distinct"), F.lit(1))
+        unknown = F.col("log_0") if k else F.col("below")
+        log = F.when(F.col("total") == 0, unknown).when(F.col("n") > 0, F.log10(F.col("n") / size)).otherwise(F.log10(F.col("distinct") / size) + F.col("below"))
+        rows = rows.withColumn("log", log)
+        known = rows.select(F.col("key").alias("shorter"), *[F.col(c).alias(f"{c}_0") for c in ("n", "total", "distinct", "below", "log")])
+    return rows.select("key", "n", "log")
+
+
+class Logs:
+    """Log probabilities of runs, in a table addressed by hash."""
+
+    def __init__(self, runs: np.ndarray, logs: np.ndarray):
         size = 1 << max(10, int(2 * len(runs)).bit_length())
         self.mask, self.keys, self.logs = np.uint64(size - 1), np.zeros(size, np.uint64), np.full(size, np.nan)
-        left, logs = runs, self.log10(runs)
+        left = runs
         slot = tx.mix(left) & self.mask
         while len(left):
             free = np.isnan(self.logs[slot])
@@ -135,64 +162,30 @@ class Trie:
             rest[put] = False
             left, logs, slot = left[rest], logs[rest], (slot[rest] + np.uint64(1)) & self.mask
 
-    def log10(self, runs: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each run's last byte after the bytes before it."""
-        out = np.zeros(len(runs))
-        todo = np.arange(len(runs))
-        gone_n, gone_d = np.zeros(len(runs)), np.zeros(len(runs))
-        for k in range(ORDER, -1, -1):
-            level = self.levels[k]
-            if not len(level["contexts"]) or not len(todo):
-                continue
-            gram = runs[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at = np.minimum(np.searchsorted(level["contexts"], gram >> np.uint64(8)), len(level["contexts"]) - 1)
-            known = level["contexts"][at] == gram >> np.uint64(8)
-            which, gram, at = todo[known], gram[known], at[known]
-            total, distinct = level["total"][at] - gone_n[which], level["distinct"][at] - gone_d[which]
-            place = np.minimum(np.searchsorted(level["grams"], gram), len(level["grams"]) - 1)
-            seen = level["grams"][place] == gram
-            chance = np.where(seen, level["n"][place], distinct)
-            # Where every symbol is excluded, the escape is certain.
-            out[which] += np.log10(np.where(distinct > 0, chance / np.maximum(total + distinct, 1), 1.0))
-            gone_d[which] = level["distinct"][at]
-            gone_n[which] = level["excluded"][at] if k else 0
-            still = np.ones(len(runs), bool)
-            still[which[seen]] = False
-            todo = todo[still[todo]]
-        out[todo] -= np.log10(np.maximum(256 - gone_d[todo], 1))
-        return out
-
-    def sums(self, runs: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Sums of log10 probabilities of runs first[i] to first[i + 1]."""
-        logs = np.empty(len(runs))
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        """The log probability of each run; not a number where the table lacks it."""
+        logs = np.full(len(runs), np.nan)
         left = np.arange(len(runs))
         slot = tx.mix(runs) & self.mask
-        unknown = []
         while len(left):
             found = self.logs[slot]
-            hit = self.keys[slot] == runs[left]
             empty = np.isnan(found)
-            hit &= ~empty
+            hit = (self.keys[slot] == runs[left]) & ~empty
             logs[left[hit]] = found[hit]
-            unknown.append(left[empty])
             rest = ~(hit | empty)
             left, slot = left[rest], (slot[rest] + np.uint64(1)) & self.mask
-        new = np.concatenate(unknown) if unknown else left
-        if len(new):
-            values, inverse = np.unique(runs[new], return_inverse=True)
-            logs[new] = self.log10(values)[inverse]
-        return np.add.reduceat(logs, first[:-1]) if len(first) > 1 else np.zeros(0)
+        return logs
 
 
-_tries: dict = {}
+_tables: dict = {}
 
 
-def _trie(sent) -> Trie:
-    """One trie for each Python worker and model."""
-    if sent.id not in _tries:
-        _tries.clear()
-        _tries[sent.id] = Trie(*sent.value)
-    return _tries[sent.id]
+def _table(sent) -> Logs:
+    """One table for each Python worker and model."""
+    if sent.id not in _tables:
+        _tables.clear()
+        _tables[sent.id] = Logs(*sent.value)
+    return _tables[sent.id]
 
 
 class _Sent:
@@ -204,8 +197,8 @@ class _Sent:
         return self.broadcast.value
 
 
-def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of at most ``most`` rows: all whose count is above the one at which they get too many.
+def _most_frequent(counts: DataFrame, most: int, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of at most ``most`` rows: all whose count is above the one at which they get too many.
 
     The cut comes from how many rows have each count, so nothing is sorted in one place.
     """
@@ -216,8 +209,18 @@ def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
             if rows <= most:
                 break
             rows, least = rows - r["rows"], r["n"]
-    found = counts.where(F.col("n") > least).select("key", "n").toArrow()
-    return found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    found = counts.where(F.col("n") > least).select("key", F.col(value).alias("value")).toArrow()
+    return found["key"].to_numpy().view(np.uint64), found["value"].to_numpy()
+
+
+def _times(doc: np.ndarray, keys: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
+    """Of each of ``size`` texts its distinct keys and how often each occurs."""
+    pair = np.lexsort((keys, doc))
+    doc, keys = doc[pair], keys[pair]
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(doc)))
+    at = pa.array(np.searchsorted(doc[new], np.arange(size + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(at, pa.array(keys[new].view(np.int64))), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -234,27 +237,31 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     training = rows.where(~held_out(1, 5))
-    counts = keep(corpus_counts(training), "counts")
+    counts = keep(corpus_counts(rows.select("text", F.coalesce(~held_out(1, 5), F.lit(False)).alias("trains"))), "counts")
     words = counts.where(F.col("kind") == _WORD)
     n_docs = training.count()
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_all, n_distinct = facts[0] + n_docs, facts[1] + (n_docs > 0)
     frequent = _most_frequent(words, FREQUENT_WORDS)
     order = np.argsort(frequent[0])
-    runs = _most_frequent(counts.where(F.col("kind") == _RUN), MAX_RUNS)
-    sent = _Sent(spark.sparkContext.broadcast(runs))
+    run_logs = keep(log_probabilities(counts.where(F.col("kind") == _RUN)), "run_logs")
+    sent = _Sent(spark.sparkContext.broadcast(_most_frequent(run_logs, FREQUENT_RUNS, "log")))
     sent_words = spark.sparkContext.broadcast((frequent[0][order], frequent[1][order]))
     bottom = float(np.log10(n_all + 0.5 * (n_distinct + 1)))
 
     def run(batches):
-        trie = _trie(sent)
+        table = _table(sent)
         keys, n = sent_words.value
         logs = np.log10(n + 0.5)
         task = TaskContext.get().partitionId() << 40
         row = 0
         for batch in batches:
             for lo, hi, part in tx.chunks(tx.column_texts(batch.column(1))):
-                bytes_score = trie.sums(*_byte_runs(part))
+                runs, run_first = _byte_runs(part)
+                run_sums = table.of(runs)
+                absent = np.isnan(run_sums)
+                run_sums[absent] = 0
+                rare_runs = _times(np.repeat(np.arange(hi - lo), np.diff(run_first))[absent], runs[absent], hi - lo)
                 low = part.lowered()
                 starts, ends, first = tx.word_spans(low, tx.NOT_SPACE)
                 hashes = tx.word_hashes(low.data, starts, ends)
@@ -263,12 +270,6 @@ def score(docs: DataFrame) -> DataFrame:
                 known = np.concatenate([[0], np.cumsum(hit)])
                 sums = np.concatenate([[0.0], np.cumsum(np.where(hit, logs[at], 0.0))]) if len(keys) else np.zeros(len(hashes) + 1)
                 size = hi - lo
-                doc = np.repeat(np.arange(size), np.diff(first))[~hit]
-                pair = np.lexsort((hashes[~hit], doc))
-                doc, rare = doc[pair], hashes[~hit][pair]
-                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1]))) if len(doc) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(doc)))
-                rare_at = np.searchsorted(doc[new], np.arange(size + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(task + row + np.arange(size)),
@@ -276,22 +277,28 @@ def score(docs: DataFrame) -> DataFrame:
                         pa.array(np.diff(first) + 1),
                         pa.array(known[first[1:]] - known[first[:-1]]),
                         pa.array(sums[first[1:]] - sums[first[:-1]]),
-                        pa.array(bytes_score),
-                        pa.ListArray.from_arrays(pa.array(rare_at), pa.array(rare[new].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(rare_at), pa.array(times.astype(np.int32))),
+                        pa.array(np.add.reduceat(run_sums, run_first[:-1]) if size else np.zeros(0)),
+                        *_times(np.repeat(np.arange(size), np.diff(first))[~hit], hashes[~hit], size),
+                        *rare_runs,
                     ],
-                    ["row", "doc_id", "n_tokens", "known", "sum", "score", "rare", "times"],
+                    ["row", "doc_id", "n_tokens", "known", "sum", "run_sum", "words", "word_times", "runs", "run_times"],
                 )
                 row += size
 
-    schema = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, sum double, score double, rare array<long>, times array<int>"
+    schema = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, known long, sum double, run_sum double, words array<long>, word_times array<int>, runs array<long>, run_times array<int>"
     scored = keep(rows.mapInArrow(run, schema), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    rest = rare.join(words.select("key", "n"), "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rare_sum"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+
+    def rare(keys: str, times: str) -> DataFrame:
+        return scored.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias("key"), F.col(f"x.{times}").alias("times"))
+
+    zero = F.lit(0.0)
+    of_words = rare("words", "word_times").join(words.select("key", "n"), "key", "left").select(
+        "row", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("rare_sum"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("rare_known"), zero.alias("rare_runs"),
     )
+    of_runs = rare("runs", "run_times").join(run_logs.select("key", "log"), "key", "left").select("row", zero.alias("rare_sum"), F.lit(0).alias("rare_known"), (F.col("times") * F.col("log")).alias("rare_runs"))
+    rest = of_words.union(of_runs).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rare_sum", "rare_known", "rare_runs")])
     end = float(np.log10(n_docs + 0.5))
-    base = F.col("sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(bottom)
+    base = F.col("sum") + F.coalesce("rare_sum", zero) + F.lit(end) - F.col("n_tokens") * F.lit(bottom)
     known = F.col("known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(n_docs > 0))
-    return scored.drop("rare", "times").join(rest, "row", "left").select("doc_id", held_out(1, 5).alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    total = F.col("run_sum") + F.coalesce("rare_runs", zero)
+    return scored.drop("words", "word_times", "runs", "run_times").join(rest, "row", "left").select("doc_id", held_out(1, 5).alias("held_out"), "n_tokens", known.cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"))

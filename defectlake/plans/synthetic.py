@@ -152,7 +152,7 @@ def best_attempt(spark, sf_dir):
 
 @query()
 def plan_assignments(spark, sf_dir):
-    sizes = A.batch_submissions(spark, sf_dir).groupBy("run_id", "task_id", "iteration").agg(F.least(F.count("*"), F.lit(50)).cast("int").alias("batch_size"))
+    sizes = A.batch_submissions(spark, sf_dir).groupBy("run_id", "task_id", "iteration").agg(F.count("*").cast("int").alias("batch_size"))
     return B.plan_assignments(sizes, A.target(spark).withColumn("task_id", F.lit("T1")))
 
 

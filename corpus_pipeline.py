@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from defectlake.llm import bpe, decontaminate, line_dedup, minhash, quality
 from defectlake.llm.scratch import keep, table
 
+#: The number of a row within a stage.
+ROW = "stage_row"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -25,17 +28,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else left
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written so that it stays; doc_id can be null or repeated."""
+    return keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each group of near duplicates: that with the smallest doc_id, a null one last, the first of equals."""
+    rows = _numbered(docs)
+    found = minhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    placed = found.join(rows.select(ROW, "doc_id"), ROW)
+    kept = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("least")).select(f"least.{ROW}")
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a run of ten words, or a whole item, of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.size("matches") > 0).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+    rows = _numbered(docs)
+    found = decontaminate.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = found.where(F.size("matches") > 0).select(F.col("doc_id").alias(ROW))
+    return rows.join(hit, ROW, "left_anti").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,10 @@ from defectlake.llm import text as tx
 from defectlake.llm.langid import held_out
 from defectlake.llm.scratch import keep
 
-#: Labelled documents that the fit looks at, about so many at most: those with the smallest hashes of doc_id.
+#: Labelled rows that the fit looks at, about so many at most, by hash. The threshold comes from all.
 MAX_LABELLED = 20_000
+#: Scores that are sorted in one place; of more, counts of ranges lead to the few that matter.
+FEW = 100_000
 #: Preference pairs per document of the fit.
 PAIRS_EACH = 20
 STEPS = 400
@@ -102,7 +104,6 @@ class Model:
             grad = -(p @ d) / pairs + L2 * self.weights
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             self.weights -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        self.cut = float(np.quantile(self.raw(x), len(bad) / (len(good) + len(bad))))
 
     def _features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -119,15 +120,56 @@ class Model:
 def learn(measured: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled rows (doc_id, quality) that are not held out.
 
-    About MAX_LABELLED rows at most, by hash of doc_id, reach the driver: vectors of fixed length.
+    About MAX_LABELLED rows at most, by hash, reach the driver: vectors of fixed length. Of equal
+    rows as many as are their share. The threshold is the quantile of the scores of all labelled rows.
     Labels other than 0 and 1 are ignored; without both labels every score is ACCEPT.
     """
     label = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out(2, 4))
-    share = min(1.0, MAX_LABELLED / max(1, label.count()))
-    label = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = measured.join(label, "doc_id").select("x", "quality").orderBy("quality", "x").toPandas()
+    labelled = keep(measured.join(label, "doc_id").select("doc_id", "x", "quality"), "labelled")
+    total, bad = labelled.agg(F.count("*"), F.count_if(F.col("quality") == 0)).first()
+    wanted = F.col("n") * min(1.0, MAX_LABELLED / max(1, total))
+    chance = F.pmod(F.xxhash64("doc_id", "quality", "x"), F.lit(1 << 30)) / F.lit(1 << 30)
+    equal = labelled.groupBy("doc_id", "quality", "x").agg(F.count("*").alias("n"))
+    equal = equal.withColumn("times", (F.floor(wanted) + (chance < wanted - F.floor(wanted)).cast("int")).cast("int"))
+    rows = equal.where("times > 0").select("x", "quality", "times").orderBy("quality", "x").toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(MEASURES)))
-    return Model(x, rows["quality"].to_numpy())
+    model = Model(np.repeat(x, rows["times"], 0), np.repeat(rows["quality"].to_numpy(), rows["times"]))
+    if 0 < bad < total:
+        model.cut = _quantile(keep(_raw(labelled, model), "raw"), bad / total)
+    return model
+
+
+def _raw(labelled: DataFrame, model: Model) -> DataFrame:
+    """(value) of each row: its score before the threshold."""
+    sent = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURES))
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.raw(x))], ["value"])
+
+    return labelled.select("x").mapInArrow(run, "value double")
+
+
+def _quantile(values: DataFrame, share: float) -> float:
+    """The exact quantile of all values (value), as numpy has it: between the two nearest of them by distance."""
+    n, lo, hi = values.agg(F.count("*"), F.min("value"), F.max("value")).first()
+    place = share * (n - 1)
+    rank, inside = int(place), n  # rank within the ``inside`` values from lo to hi
+    while inside > FEW and lo < hi:
+        bin_of = F.least(F.floor((F.col("value") - lo) / (hi - lo) * 1024), F.lit(1023))
+        for r in values.where(F.col("value").between(lo, hi)).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("bin").collect():
+            if rank < r["n"]:
+                inside, lo, hi = r["n"], r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    a = lo
+    if lo < hi:
+        a = float(np.partition(values.where(F.col("value").between(lo, hi)).toArrow()["value"].to_numpy(), rank)[rank])
+    upto, above = values.agg(F.count_if(F.col("value") <= a), F.min(F.when(F.col("value") > a, F.col("value")))).first()
+    b = a if upto > int(place) + 1 or above is None else above
+    return float(a + (b - a) * (place - int(place)))
 
 
 def scored(measured: DataFrame, model: Model) -> DataFrame:

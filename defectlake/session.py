@@ -7,16 +7,30 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+SETTING = "spark.checkpoint.dir"
+
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and measurements on one machine."""
     return (
         SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", partitions).config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config(SETTING, tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where the session names none, one in its warehouse, which is shared too."""
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a local folder only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}/{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path of a file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

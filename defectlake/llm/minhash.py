@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from defectlake.llm import text as tx
-from defectlake.llm.components import components
+from defectlake.llm.components import REP_BYTES, components, node_of, rep_of
+from defectlake.llm.heavy import heavy_keys, sizes, spread_join
 from defectlake.llm.scratch import keep
 
 SHINGLE_WORDS = 5
@@ -83,13 +84,13 @@ def may_pass(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (got + SLACK * np.sqrt(j * (1 - j) / np.maximum(used, 1)) >= j) & (100 * small >= percent * big)
 
 
-def close(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, bool]:
-    """Whether fine sets may link, and whether that is known for sure.
+def close(a: np.ndarray, b: np.ndarray, whole: tuple[bool, bool], percent: int) -> tuple[bool, bool]:
+    """Whether sets may link by their smallest hashes, and whether that is known for sure.
 
-    Sets of fewer than FINE hashes are whole. Of longer ones the hashes up to the smaller of
-    the two limits are a fair sample of the union.
+    ``whole`` tells which of them are there in full. Of longer ones the hashes up to the smaller
+    of the two limits are a fair sample of the union.
     """
-    cut = [x[-1] for x in (a, b) if len(x) >= FINE]
+    cut = [x[-1] for x, all_there in zip((a, b), whole, strict=True) if not all_there]
     if cut:
         a, b = (x[: np.searchsorted(x, min(cut), "right")] for x in (a, b))
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -140,10 +141,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, BUCKETS)
 
 
+def _both(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Kept ``pairs`` (a, b) with the row of each end."""
+    total = pairs.count()
+    return spread_join(spread_join(pairs, left, "a", heavy_keys(sizes(pairs, "a"), "a", total), "b"), right, "b", heavy_keys(sizes(pairs, "b"), "b", total), "a")
+
+
 def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose register estimate lets them go to verification."""
-    left = sets.select(F.col("print").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = sets.select(F.col("print").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    left = sets.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    right = sets.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
 
     def run(batches):
         for batch in batches:
@@ -152,38 +159,36 @@ def _filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok = may_pass(_matrix(batch.column(2)), _matrix(batch.column(4)), n, m, percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a binary, b binary")
+    return _both(pairs, left, right).select("a", "b", "sa", "na", "sb", "nb").mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets have a Jaccard similarity of percent or more."""
-    left = full.select(F.col("print").alias("a"), F.col("hashes").alias("ha"))
-    right = full.select(F.col("print").alias("b"), F.col("hashes").alias("hb"))
+    left = full.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+    right = full.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb")).cast("long")
     return (
-        pairs.join(left, "a").join(right, "b")
-        .withColumn("shared", shared)
+        _both(pairs, left, right).withColumn("shared", shared)
         .where(100 * F.col("shared") >= percent * (F.size("ha") + F.size("hb") - F.col("shared")))
         .select(F.col("a").alias("u"), F.col("b").alias("v"))
     )
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(print, hashes, fine) of each wanted set, from one of the documents that have it."""
+    """(node, hashes) of each wanted set (node, rep), from one of the documents that have it; smallest hashes first."""
 
     def rows_of(have: list, rows: list) -> pa.RecordBatch:
-        fine = [np.unique((s[:FINE] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in rows]
-        return pa.RecordBatch.from_arrays([pa.array(have, pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64())), pa.array(fine, pa.binary())], ["print", "hashes", "fine"])
+        return pa.RecordBatch.from_arrays([pa.array(have, pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["node", "hashes"])
 
     def run(batches):
         last = None  # repeated rows of a document come one after the other
         for batch in batches:
-            prints = batch.column(1).to_pylist()
+            nodes = batch.column(1).to_pylist()
             have, rows = [], []
-            for p, s in zip(prints, _sets(tx.column_texts(batch.column(0)), k), strict=True):
-                if len(s) and p != last and _print_of(s) == p:
-                    last = p
-                    have.append(p)
+            for node, s in zip(nodes, _sets(tx.column_texts(batch.column(0)), k), strict=True):
+                if len(s) and node != last and _print_of(s) == node[REP_BYTES:]:
+                    last = node
+                    have.append(node)
                     rows.append(s)
                 if len(have) >= 256:
                     yield rows_of(have, rows)
@@ -191,96 +196,120 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield rows_of(have, rows)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "print").mapInArrow(run, "print binary, hashes array<long>, fine binary")
+    return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node").mapInArrow(run, "node binary, hashes array<long>")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs within band values that have a link left to find; they go to verification.
+class _Group:
+    """Members of one band value that meet: two blocks, or one with itself."""
 
-    members: (key, band, size, print, root, sketch, n_shingles, fine). Sets that links already
-    join aren't compared, nor are those that a group has just joined, so a group gives at most
-    one pair for each set and root that meet. A band value with many members is cut into
-    blocks, and each pair of blocks is a group of its own. A pair that agrees in several bands
-    is compared in the first of them only.
-    """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("print"), blocks).cast("int")
-    tiled = (
-        members.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "band", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "own", "print", "root", "sketch", "n_shingles", "fine")
-    )
+    def __init__(self, columns: dict, percent: int, tentative: bool):
+        self.c, self.percent, self.tentative = columns, percent, tentative
+        self.root = np.unique(columns["root"], return_inverse=True)[1]
 
-    def pairs_of(g) -> tuple[list, list]:
-        ti, tj, band = g["ti"][0], g["tj"][0], g["band"][0]
-        left = np.flatnonzero(g["own"] == ti)
-        right = left if ti == tj else np.flatnonzero(g["own"] == tj)
-        lanes, regs, n = g["sketch"], g["sketch"].view(np.uint16), g["n"]
-        root = np.unique(g["root"], return_inverse=True)[1]
-        fine: dict[int, np.ndarray] = {}
-
-        def hashes(i):
-            if i not in fine:
-                fine[i] = np.frombuffer(g["fine"][i], np.uint32)
-            return fine[i]
+    def _meeting(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of ``js`` that ``i`` must be compared with here: of another root, and in no earlier band."""
+        lanes, regs, n = self.c["sketch"], self.c["sketch"].view(np.uint16), self.c["n"]
+        js = js[self.root[js] != self.root[i]]
+        if len(js):
+            js = js[((lanes[js] == lanes[i]) & (lanes[i] != 0)).argmax(1) == self.c["band"][0]]
+        return js[may_pass(regs[i], regs[js], n[i], n[js], self.percent)] if len(js) else js
 
+    def pairs(self) -> tuple[list, list]:
         a_out, b_out = [], []
+        own, ti, tj = self.c["own"], self.c["ti"][0], self.c["tj"][0]
+        left = np.flatnonzero(own == ti)
+        right = left if ti == tj else np.flatnonzero(own == tj)
+        fine, whole = self.c["fine"], self.c["n"] <= FINE
         for i in left:
-            js = right[right > i] if ti == tj else right
-            js = js[root[js] != root[i]]
-            if len(js):
-                same = (lanes[js] == lanes[i]) & (lanes[i] != 0)
-                js = js[same.argmax(1) == band]
-            if len(js):
-                js = js[may_pass(regs[i], regs[js], n[i], n[js], percent)]
-            for j in js:
-                if root[i] == root[j]:
+            for j in self._meeting(i, right[right > i] if ti == tj else right):
+                if self.root[i] == self.root[j]:
                     continue
-                links, sure = close(hashes(i), hashes(j), percent)
+                links, sure = close(fine[i], fine[j], (whole[i], whole[j]), self.percent)
                 if links:
-                    a_out.append(g["print"][i])
-                    b_out.append(g["print"][j])
-                    if sure:
-                        root[root == root[j]] = root[i]
+                    a_out.append(self.c["node"][i])
+                    b_out.append(self.c["node"][j])
+                    if sure or self.tentative:
+                        self.root[self.root == self.root[j]] = self.root[i]
         return a_out, b_out
 
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """Members (key, n, n_other, main, node, root, ...) dealt to groups (key, ti, tj) of two blocks each.
+
+    ``main`` is the root that most members of a band value have by then; its sets needn't meet
+    each other. Blocks of it have numbers below zero.
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    of_main, others = blocks(F.col("n") - F.col("n_other")), blocks(F.col("n_other"))
+    is_main = F.col("root") == F.col("main")
+    own = F.when(is_main, -1 - F.pmod(F.xxhash64("node"), of_main)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    meets = F.when(is_main, F.sequence(F.lit(0), others - 1)).otherwise(F.concat(F.sequence(F.lit(0), others - 1), F.sequence(F.lit(-1), -of_main, F.lit(-1))))
+    tiled = members.withColumn("own", own).withColumn("other", F.explode(meets))
+    return tiled.withColumns({"ti": F.least("own", "other"), "tj": F.greatest("own", "other")})
+
+
+def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame:
+    """Pairs within band values that have a link left to find; they go to verification.
+
+    members: (key, band, n, n_other, main, node, root, sketch, n_shingles, fine). Sets that links
+    already join aren't compared, nor are those that a group has just joined. A link of sets of
+    up to FINE hashes is sure at once. Of longer sets a link is likely only: ``tentative`` groups
+    count them as joined all the same, so that a group gives at most one pair for each two roots
+    that meet, and the caller must come again where pairs failed; other groups give all such
+    pairs. A pair that agrees in several bands is compared in the first of them only.
+    """
+
     def run(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {"key": batch.column(0).to_numpy(), "band": batch.column(1).to_numpy(), "ti": batch.column(2).to_numpy(), "tj": batch.column(3).to_numpy(), "own": batch.column(4).to_numpy()}
-            now["print"] = np.array(batch.column(5).to_pylist(), object)
+            now = {name: batch.column(i).to_numpy() for i, name in enumerate(("key", "band", "ti", "tj", "own"))}
+            now["node"] = np.array(batch.column(5).to_pylist(), object)
             now["root"] = np.array(batch.column(6).to_pylist(), object)
             now["sketch"] = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
             now["n"] = batch.column(8).to_numpy()
-            now["fine"] = np.array(batch.column(9).to_pylist(), object)
+            now["fine"] = np.empty(batch.num_rows, object)
+            for i, x in enumerate(batch.column(9)):
+                now["fine"][i] = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
             if held is not None:
                 now = {k: np.concatenate([held[k], now[k]]) for k in now}
             new = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["ti"]) != 0) | (np.diff(now["tj"]) != 0)) + 1
             cuts = np.concatenate([[0], new])
             a_all, b_all = [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                a, b = pairs_of({k: v[s:e] for k, v in now.items()})
+                a, b = _Group({k: v[s:e] for k, v in now.items()}, percent, tentative).pairs()
                 a_all += a
                 b_all += b
             held = {k: v[cuts[-1] :] for k, v in now.items()}
             yield pa.RecordBatch.from_arrays([pa.array(a_all, pa.binary()), pa.array(b_all, pa.binary())], ["a", "b"])
         if held is not None:
-            a, b = pairs_of(held)
+            a, b = _Group(held, percent, tentative).pairs()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     order = ["key", "ti", "tj"]
+    tiled = _tiles(members).select("key", "band", "ti", "tj", "own", "node", "root", "sketch", "n_shingles", "fine")
     return tiled.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary")
 
 
+def _apart(members: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the band values in which not all sets have one root yet: key, band, n, n_other, main, node, root."""
+    root_of = roots.select(F.col("node").alias("of_node"), "root")
+    placed = members.join(root_of, F.col("node") == F.col("of_node"), "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
+    main = pivots.join(root_of, F.col("b") == F.col("of_node"), "left").select("key", "size", F.coalesce("root", "b").alias("main"))
+    heavy = heavy_keys(main.select("key", F.col("size").alias("n")), "key", members.count())
+    placed = spread_join(placed, main, "key", heavy, "node")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("n_other")).where("n_other > 0")
+    return spread_join(placed, mixed, "key", heavy, "node")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, print.
 
     Sets link when 100 * intersection >= percent * union. Rows of equal sets are one class, so
     copies are never paired. Of each band value the members are first compared with one of
     them, drawn anew for each value; the sets that are then still apart are compared with each
-    other.
+    other. Band values, sets and roots with very many rows are split over tasks.
 
     Defined cases: a null, empty or blank text has n_shingles 0 and is linked with nothing; a
     text of fewer than ``k`` words has its whole sequence as one shingle; repeated rows are
@@ -289,27 +318,33 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     ignored; no rows give no rows.
     """
     rows = keep(sketches(docs, k), "sketches")
-    classes = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
-    classes = keep(classes, "classes")
-    sets = keep(rows.where("print is not null").join(classes, (rows["print"] == classes["print"]) & rows["doc_id"].eqNullSafe(classes["rep"])).select(rows["print"], "rep", "n_shingles", "sketch").dropDuplicates(["print"]), "sets")
-    bands = sets.select("print", F.posexplode("sketch").alias("band", "value")).where("value <> 0").select("print", "band", F.xxhash64("band", "value").alias("key"))
-    bands = bands.withColumn("draw", F.xxhash64("key", "print"))
+    sets = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    sets = keep(sets.select(node_of("rep", "print").alias("node"), "print", "rep", "n_shingles", "sketch"), "sets")
+    bands = sets.select("node", F.posexplode("sketch").alias("band", "value")).where("value <> 0").select("node", "band", F.xxhash64("band", "value").alias("key"))
+    bands = bands.withColumn("draw", F.xxhash64("key", "node"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("draw").alias("low")).where("size > 1")
-    members = keep(bands.join(shared, "key"), "members")
-    pivots = members.where("draw = low").select("key", F.col("print").alias("b"))
-    star = members.select("key", F.col("print").alias("a")).join(pivots, "key").where("a <> b")
-    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wanted = members.select("print").distinct().join(sets.select("print", "rep"), "print")
+    heavy = heavy_keys(shared.select("key", F.col("size").alias("n")), "key", BANDS * sets.count())
+    members = keep(spread_join(bands, shared, "key", heavy, "node"), "members")
+    pivots = members.where("draw = low").select("key", F.col("node").alias("b"), "size")
+    star = spread_join(members.select("key", F.col("node").alias("a")), pivots, "key", heavy, "a").where("a <> b")
+    star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
+    wanted = members.select("node").distinct().join(sets.select("node", "rep"), "node")
     full = keep(_full_sets(docs, wanted, k), "full")
-    links = keep(_verified(_filtered(star, sets, percent), full, percent), "links")
-    roots = keep(components(links, "near"), "roots")
-    placed = members.join(roots, members["print"] == roots["node"], "left").select("key", "band", "size", "print", F.coalesce("root", "print").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(mixed, "key").join(sets.select("print", "sketch", "n_shingles"), "print").join(full.select("print", "fine"), "print")
-    more = _verified(_cross_pairs(rest, percent), full, percent)
-    met = components(links.union(more), "all")
-    of_set = classes.join(met, classes["print"] == met["node"], "left").select(classes["print"], "rep", F.coalesce("root", classes["print"]).alias("root"))
-    least = of_set.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_set = of_set.join(least, "root").select("print", "component_id")
+    links = keep(_verified(keep(_filtered(star, sets, percent), "likely"), full, percent), "links")
+    tentative = True
+    while True:
+        roots = keep(components(links, "near"), "roots")
+        rest = _apart(members, pivots, roots).join(sets.select("node", "sketch", "n_shingles"), "node").join(full.select("node", F.slice("hashes", 1, FINE).alias("fine")), "node")
+        pairs = keep(_cross_pairs(rest, percent, tentative), "pairs")
+        more = keep(_verified(pairs, full, percent), "more")
+        met, found = pairs.count(), more.count()
+        if found:
+            links = links.union(more)
+        if met == found or not tentative:
+            break
+        tentative = 2 * found >= met  # else one last time, with all pairs that may link
+    if found:
+        roots = components(links, "all")
+    of_set = sets.select("node", "print").join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("print", rep_of(F.coalesce("root", "node")).alias("component_id"))
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", "print").join(of_set, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "print")

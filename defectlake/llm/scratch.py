@@ -6,34 +6,23 @@ and all executors share, so a lost executor takes nothing with it and lineage is
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
+from defectlake.session import delete, shared_folder
+
 #: Tells this program's tables from those of others in the same folder.
 RUN = uuid.uuid4().hex
 
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder; a local one of our own only where the session names none."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if named:
-        return named.rstrip("/")
-    if not hasattr(spark, "_defectlake_folder"):
-        spark._defectlake_folder = tempfile.mkdtemp(prefix="spark-")
-    return spark._defectlake_folder
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/defectlake/{RUN}/{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/defectlake/{RUN}/{uuid.uuid4().hex}/{name}"
 
 
 def clear(spark: SparkSession) -> None:
     """Delete the tables that this program has kept; results that read them must be written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/defectlake/{RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_folder(spark)}/defectlake/{RUN}")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +30,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def forget(kept: DataFrame) -> None:
+    """Delete a table that ``keep`` gave and nothing reads any more."""
+    delete(kept.sparkSession, kept.kept_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -137,21 +137,33 @@ def test_vectors(spark):
     assert near.sum() > 100
 
 
-def test_every_close_pair_meets_in_a_filter():
+@pytest.mark.parametrize("codewords", [8, 17, 64])
+def test_close_pairs_meet_in_a_filter(codewords):
+    """All of few dimensions; of many, all but one in about 100,000."""
     draw = np.random.default_rng(8)
-    for dims in (1, 2, 3, 16, 65):
-        v = draw.standard_normal((400, dims))
+    for dims, n in ((1, 400), (2, 400), (3, 400), (13, 2000), (64, 6000), (65, 2000)):
+        v = draw.standard_normal((n, dims))
         v /= np.linalg.norm(v, axis=1, keepdims=True)
-        w = v + 0.19 * (lambda n: n / np.linalg.norm(n, axis=1, keepdims=True))(draw.standard_normal((400, dims)))
+        w = draw.standard_normal((n, dims))
+        w -= (v * w).sum(1, keepdims=True) * v
+        w = 0.9801 * v + np.sqrt(1 - 0.9801**2) * w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
         w /= np.linalg.norm(w, axis=1, keepdims=True)
         both = np.concatenate([v, w])
-        books = embeddings.codebooks(dims)
-        caps = embeddings.Caps(both, 0.98, books)
-        dealt = set(zip(*(x.tolist() for x in caps.first_codewords()), strict=True))
-        for i in np.flatnonzero((v * w).sum(1) >= 0.98):
-            a, b = (i, i + 400) if caps.near[i] >= caps.near[i + 400] else (i + 400, i)
-            c, d = caps.nearest[0][a], caps.nearest[1][a]
-            assert (b, c) in dealt and embeddings.listed_in(both[b : b + 1], caps.least[b : b + 1], c, np.array([d]), books).all()
+        caps = embeddings.Caps(both, 0.98, embeddings.codebooks(dims, codewords))
+        rows, filters = caps.listed()
+        dealt = set(zip(rows.tolist(), filters.tolist(), strict=True))
+        stays = [(b, caps.nearest[a]) in dealt for i in range(n) if v[i] @ w[i] >= 0.98 for a, b in [(i, i + n) if caps.near[i] >= caps.near[i + n] else (i + n, i)]]
+        assert np.mean(stays) == 1 if dims <= 13 else np.mean(stays) > 0.9995
+
+
+def test_a_filter_cut_into_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    x = (draw.standard_normal(16) + 0.03 * draw.standard_normal((150, 16))).tolist()
+    table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    whole = {r.vec_id: r for r in embeddings.near_duplicates(table).collect()}
+    monkeypatch.setattr(embeddings, "BLOCK", 20)
+    assert {r.vec_id: r for r in embeddings.near_duplicates(table).collect()} == whole
+    assert {r.n_links for r in whole.values()} == {149} and {r.component_id for r in whole.values()} == {0}
 
 
 def test_ppm(spark):

@@ -235,10 +235,40 @@ def test_decontamination(spark, monkeypatch, block):
 def test_proximity(spark):
     docs = texts_frame(spark, ["alpha x beta gamma", "gamma alpha beta", "alpha x x x x beta gamma", "beta alpha"])
     items = spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string")
-    found = {r.doc_id: [(m.start, m.end) for m in r.matches] for r in decontaminate.contamination(docs, items, slop=1).collect()}
+    found = {r.doc_id: [(m.start, m.end) for m in r.near] for r in decontaminate.contamination(docs, items, slop=1).collect()}
     assert found == {0: [(0, 4)], 1: [(0, 3)], 2: [], 3: []}
 
 
+@pytest.mark.parametrize("block", [4 << 20, 60])
+def test_proximity_of_any_windows(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "TEST_BLOCK_BYTES", block)
+    draw = random.Random(14)
+    docs = ["".join(draw.choices("abcdef", k=draw.randint(0, 40))) for _ in range(60)]
+    items = ["".join(draw.choices("abcdefg", k=draw.randint(1, 9))) for _ in range(25)] + [""]
+    spaced = lambda texts: [" ".join(t) for t in texts]
+    got = decontaminate.contamination(texts_frame(spark, spaced(docs)), spark.createDataFrame(list(enumerate(spaced(items))), "item_id long, text string"), 4, 1).collect()
+    for r in got:
+        d, exact, near = docs[r.doc_id], set(), set()
+        for i, item in enumerate(items):
+            for window in {item[k : k + 4] for k in range(max(1, len(item) - 3))} - {""}:
+                exact |= {str(i)} if window in d else set()
+                near |= {str(i)} if any(set(window) <= set(d[s : s + len(window) + 1]) for s in range(len(d))) else set()
+        assert ({m.item_id for m in r.matches}, {m.item_id for m in r.near}) == (exact, near)
+    assert sum(len(r.near) for r in got) > 100
+
+
+def test_one_index_serves_any_benchmark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WINDOWS", 3)
+    draw = random.Random(15)
+    docs = texts_frame(spark, [" ".join(words(draw, 50)) for _ in range(10)])
+    decontaminate.index(docs).write.parquet(str(tmp_path / "index"))
+    postings = spark.read.parquet(str(tmp_path / "index"))
+    text = docs.where("doc_id = 3").first().text
+    for items, want in (([(1, text)], {3: [(0, 50)]}), ([(2, " ".join(text.split()[5:20]))], {3: [(5, 20)]}), ([], {})):
+        found = decontaminate.search(postings, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert len(found) == 10 and {r.doc_id: [(m.start, m.end) for m in r.matches] for r in found if r.matches} == want
+
+
 RANKS = bpe.load_ranks(PATH)
 ENCODER = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
 REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})

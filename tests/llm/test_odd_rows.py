@@ -83,8 +83,9 @@ def test_kept_tables_can_be_cleared(spark):
     from pathlib import Path
 
     from defectlake.llm import scratch
+    from defectlake.session import shared_folder
 
     table = scratch.keep(spark.range(3), "three")
-    assert table.count() == 3 and list(Path(f"{scratch.folder(spark)}/defectlake/{scratch.RUN}").iterdir())
+    assert table.count() == 3 and list(Path(f"{shared_folder(spark)}/defectlake/{scratch.RUN}").iterdir())
     scratch.clear(spark)
-    assert not Path(f"{scratch.folder(spark)}/defectlake/{scratch.RUN}").exists()
+    assert not Path(f"{shared_folder(spark)}/defectlake/{scratch.RUN}").exists()

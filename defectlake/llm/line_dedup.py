@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from defectlake.llm.heavy import heavy_keys, spread_join
 from defectlake.llm.scratch import keep
 
 WINDOW_LINES = 3
@@ -33,8 +34,9 @@ def _windows(lines: DataFrame) -> DataFrame:
 def _later(windows: DataFrame) -> DataFrame:
     """(doc_id, seal, covered): line numbers that later occurrences of a window cover."""
     place = F.struct("doc_id", "seal", "pos")
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
-    again = windows.join(first, "window").where(~place.eqNullSafe(F.col("first")))
+    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    heavy = heavy_keys(first.select("window", "n"), "window", windows.count())
+    again = spread_join(windows.withColumn("deal", F.xxhash64("doc_id", "seal", "pos")), first.drop("n"), "window", heavy, "deal").where(~place.eqNullSafe(F.col("first")))
     lines = F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + WINDOW_LINES - 1)))
     return again.groupBy("doc_id", "seal").agg(F.array_distinct(lines).alias("covered"))
 

@@ -27,7 +27,7 @@ from defectlake.llm.scratch import keep
 
 ORDER = 5
 #: Byte runs whose log probabilities every task has; those of all others are joined.
-FREQUENT_RUNS = 4_000_000
+FREQUENT_RUNS = 1_000_000
 #: Words whose counts every task has; the counts of all others are joined.
 FREQUENT_WORDS = 200_000
 #: Distinct keys that a task gathers before it sends them on.

@@ -16,11 +16,13 @@ LEAST = 100
 
 
 def heavy_keys(sized: DataFrame, on: str, total: int) -> DataFrame | None:
-    """(on, splits) of the heavy keys of ``sized`` (on, n), whose n add up to ``total``: SHARE of them at most."""
+    """(on, splits) of the heavy keys of ``sized`` (on, n), whose n add up to ``total``: SHARE of them at most. None without any."""
     if total <= LEAST:
         return None
     limit = max(LEAST, total // SHARE)
-    return F.broadcast(sized.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("splits")))
+    found = sized.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("int").alias("splits"))
+    rows = found.collect()
+    return F.broadcast(sized.sparkSession.createDataFrame(rows, found.schema)) if rows else None
 
 
 def sizes(rows: DataFrame, on: str) -> DataFrame:

@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectlake.llm import text as tx
 from defectlake.llm.components import REP_BYTES, components, node_of, rep_of
 from defectlake.llm.heavy import heavy_keys, sizes, spread_join
-from defectlake.llm.scratch import keep
+from defectlake.llm.scratch import forget, keep
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -84,19 +84,20 @@ def may_pass(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent
     return (got + SLACK * np.sqrt(j * (1 - j) / np.maximum(used, 1)) >= j) & (100 * small >= percent * big)
 
 
-def close(a: np.ndarray, b: np.ndarray, whole: tuple[bool, bool], percent: int) -> tuple[bool, bool]:
-    """Whether sets may link by their smallest hashes, and whether that is known for sure.
+def close(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> tuple[bool, bool]:
+    """Whether sets of ``n`` and ``m`` hashes may link by the smallest of them, and whether that is sure.
 
-    ``whole`` tells which of them are there in full. Of longer ones the hashes up to the smaller
-    of the two limits are a fair sample of the union.
+    Sets of up to FINE hashes are there in full, but for hashes that agree in their upper halves.
+    Of longer ones the hashes up to the smaller of the two limits are a fair sample of the union.
     """
-    cut = [x[-1] for x, all_there in zip((a, b), whole, strict=True) if not all_there]
+    cut = [x[-1] for x, size in ((a, n), (b, m)) if size > FINE]
     if cut:
         a, b = (x[: np.searchsorted(x, min(cut), "right")] for x in (a, b))
     both = len(np.intersect1d(a, b, assume_unique=True))
     union = len(a) + len(b) - both
     if not cut:
-        return 100 * both >= percent * union, True
+        hidden = n + m - len(a) - len(b)
+        return 100 * (both + hidden) >= percent * union, not hidden
     j = percent / 100
     return both / union + SLACK * np.sqrt(j * (1 - j) / union) >= j, False
 
@@ -199,6 +200,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node").mapInArrow(run, "node binary, hashes array<long>")
 
 
+def _upper_halves(hashes: Column) -> Column:
+    """The upper 32 bits of each hash, which move at half the size."""
+    return F.transform(hashes, lambda x: F.shiftright(x, 32).cast("int"))
+
+
 class _Group:
     """Members of one band value that meet: two blocks, or one with itself."""
 
@@ -219,12 +225,12 @@ class _Group:
         own, ti, tj = self.c["own"], self.c["ti"][0], self.c["tj"][0]
         left = np.flatnonzero(own == ti)
         right = left if ti == tj else np.flatnonzero(own == tj)
-        fine, whole = self.c["fine"], self.c["n"] <= FINE
+        fine, n = self.c["fine"], self.c["n"]
         for i in left:
             for j in self._meeting(i, right[right > i] if ti == tj else right):
                 if self.root[i] == self.root[j]:
                     continue
-                links, sure = close(fine[i], fine[j], (whole[i], whole[j]), self.percent)
+                links, sure = close(fine[i], fine[j], n[i], n[j], self.percent)
                 if links:
                     a_out.append(self.c["node"][i])
                     b_out.append(self.c["node"][j])
@@ -236,14 +242,15 @@ class _Group:
 def _tiles(members: DataFrame) -> DataFrame:
     """Members (key, n, n_other, main, node, root, ...) dealt to groups (key, ti, tj) of two blocks each.
 
-    ``main`` is the root that most members of a band value have by then; its sets needn't meet
-    each other. Blocks of it have numbers below zero.
+    Few members make one group. ``main`` is the root that most of many members have by then; its
+    sets needn't meet each other. Blocks of it have numbers below zero.
     """
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    of_main, others = blocks(F.col("n") - F.col("n_other")), blocks(F.col("n_other"))
-    is_main = F.col("root") == F.col("main")
-    own = F.when(is_main, -1 - F.pmod(F.xxhash64("node"), of_main)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
-    meets = F.when(is_main, F.sequence(F.lit(0), others - 1)).otherwise(F.concat(F.sequence(F.lit(0), others - 1), F.sequence(F.lit(-1), -of_main, F.lit(-1))))
+    many = F.col("n") > BLOCK
+    of_main, others = F.when(many, blocks(F.col("n") - F.col("n_other"))).otherwise(0), F.when(many, blocks(F.col("n_other"))).otherwise(1)
+    is_main = many & (F.col("root") == F.col("main"))
+    own = F.when(is_main, -1 - F.pmod(F.xxhash64("node"), F.greatest(of_main, F.lit(1)))).when(many, F.pmod(F.xxhash64("node"), others)).otherwise(0).cast("int")
+    meets = F.when(is_main, F.sequence(F.lit(0), others - 1)).otherwise(F.concat(F.sequence(F.lit(0), others - 1), F.when(many, F.sequence(F.lit(-1), -of_main, F.lit(-1))).otherwise(F.array().cast("array<int>"))))
     tiled = members.withColumn("own", own).withColumn("other", F.explode(meets))
     return tiled.withColumns({"ti": F.least("own", "other"), "tj": F.greatest("own", "other")})
 
@@ -271,7 +278,7 @@ def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame
             now["n"] = batch.column(8).to_numpy()
             now["fine"] = np.empty(batch.num_rows, object)
             for i, x in enumerate(batch.column(9)):
-                now["fine"][i] = x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                now["fine"][i] = np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint32))
             if held is not None:
                 now = {k: np.concatenate([held[k], now[k]]) for k in now}
             new = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["ti"]) != 0) | (np.diff(now["tj"]) != 0)) + 1
@@ -330,14 +337,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     wanted = members.select("node").distinct().join(sets.select("node", "rep"), "node")
     full = keep(_full_sets(docs, wanted, k), "full")
-    links = keep(_verified(keep(_filtered(star, sets, percent), "likely"), full, percent), "links")
+    likely = keep(_filtered(star, sets, percent), "likely")
+    forget(star)
+    links = keep(_verified(likely, full, percent), "links")
+    forget(likely)
     tentative = True
     while True:
         roots = keep(components(links, "near"), "roots")
-        rest = _apart(members, pivots, roots).join(sets.select("node", "sketch", "n_shingles"), "node").join(full.select("node", F.slice("hashes", 1, FINE).alias("fine")), "node")
+        rest = _apart(members, pivots, roots).join(sets.select("node", "sketch", "n_shingles"), "node").join(full.select("node", _upper_halves(F.slice("hashes", 1, FINE)).alias("fine")), "node")
         pairs = keep(_cross_pairs(rest, percent, tentative), "pairs")
         more = keep(_verified(pairs, full, percent), "more")
         met, found = pairs.count(), more.count()
+        forget(pairs)
         if found:
             links = links.union(more)
         if met == found or not tentative:
@@ -345,6 +356,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         tentative = 2 * found >= met  # else one last time, with all pairs that may link
     if found:
         roots = components(links, "all")
+    for table in (full, members):
+        forget(table)
     of_set = sets.select("node", "print").join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("print", rep_of(F.coalesce("root", "node")).alias("component_id"))
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", "print").join(of_set, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "print")

@@ -7,22 +7,17 @@ category_requirements_met. target: defect, target, standard_error, position.
 
 from __future__ import annotations
 
-import math
-import random
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from defectlake.catalog import INDEPENDENT
-from defectlake.functions.columns import Z, name_union, ratio, true_names, wilson
+from defectlake.functions.columns import Z, name_union, ratio, stable_seed, true_names, wilson
 
 BATCH = ["run_id", "iteration"]
 MAX_ASSIGNED = 3
-#: Submissions of a batch that one task places at a time.
-PART = 4096
+#: Hexadecimal digits of a hash that deal the submissions of a batch into slices: 4,096 of them.
+SLICE_DIGITS = 3
 INSTRUCTIONS = {"Increase": "strengthen the generation constraint", "Reduce": "reduce the generation constraint", "Maintain": "maintain the generation constraint"}
 MEASURES = ("functional_pass_rate", "independent_coverage", "dependent_coverage", "category_requirement_rate")
 
@@ -179,73 +174,48 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
     return best.select(*BATCH, "submission_id", "best.*", "attempts_made")
 
 
-def _seed(*parts) -> int:
-    from hashlib import sha256
+def planned_counts(sizes: DataFrame, target: DataFrame, namespace: str = "") -> DataFrame:
+    """Per batch of ``sizes`` (run_id, task_id, iteration, size): ``plan``, its defects in falling order of target.
 
-    return int.from_bytes(sha256("|".join(map(str, parts)).encode()).digest()[:8], "big") % 2_147_483_647
+    A defect gets the whole part of target times size, and one more with the chance of the rest,
+    by a seeded draw. ``offset`` is how many places earlier defects take.
+    """
+    checked = F.when(F.col("target").between(0, 1), F.col("target")).otherwise(F.raise_error(F.concat(F.lit("target is not between 0 and 1: "), "defect")))
+    joined = sizes.join(F.broadcast(target.select("task_id", "defect", checked.alias("target"), "position")), "task_id")
+    wanted = F.col("target") * F.col("size")
+    chance = stable_seed(*([F.lit(namespace)] if namespace else []), F.col("task_id"), F.col("iteration"), F.lit("defect-assignment"), F.col("defect")) / 2147483647
+    counted = joined.withColumn("places", (F.floor(wanted) + (chance < wanted - F.floor(wanted)).cast("long")))
+    earlier = W.partitionBy("run_id", "task_id", "iteration").orderBy(F.desc("target"), "defect").rowsBetween(W.unboundedPreceding, -1)
+    placed = counted.withColumn("offset", F.coalesce(F.sum("places").over(earlier), F.lit(0)))
+    return placed.groupBy("run_id", "task_id", "iteration", "size").agg(F.sort_array(F.collect_list(F.struct("position", "defect", "offset", "places"))).alias("plan"))
 
 
-def plan_assignments(batches: DataFrame, target: DataFrame, limit: int = MAX_ASSIGNED, namespace: str = "", part_size: int = PART) -> DataFrame:
-    """(run_id, task_id, iteration, submission_id, assigned_defects) of each batch.
+def plan_assignments(submissions: DataFrame, target: DataFrame, limit: int = MAX_ASSIGNED, namespace: str = "") -> DataFrame:
+    """``submissions`` (run_id, task_id, iteration, submission_id) with ``assigned_defects``, in order of position.
 
-    batches: run_id, task_id, iteration, batch_size; target: task_id, defect, target. A defect
-    gets the whole part of target times size, and one more with the chance of the rest. In
-    falling order of target, each goes to the least loaded submissions, ties by a seeded draw.
+    target: task_id, defect, target, position. A batch's submissions are shuffled by a seeded
+    hash, and its defects, in falling order of target, are dealt round from where the one before
+    ended: so each goes to submissions with fewest defects, and all loads differ by one at most.
 
-    A batch is placed in parts of ``part_size`` submissions. How many of a part get a defect is
-    drawn as an urn would, from how many of each part are least loaded, so all parts together
-    are one draw over the batch.
+    Places in the shuffled order come from counts of slices of the hash and from ranks inside
+    each slice, so a batch of any size is spread over many tasks.
     """
     if limit < 1:
         raise ValueError("a submission takes at least one defect")
-
-    def seed_of(task: str, iteration: int) -> int:
-        return _seed(*([namespace] if namespace else []), task, iteration, "defect-assignment")
-
-    def divide(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        size, task, iteration = int(first["batch_size"]), first["task_id"], int(first["iteration"])
-        if size < 1 or not rows["target"].between(0, 1).all():
-            raise ValueError("batch_size must be 1 or more and targets between 0 and 1")
-        seed = seed_of(task, iteration)
-        sizes = np.full(-(-size // part_size), part_size)
-        sizes[-1] = size - part_size * (len(sizes) - 1)
-        low, load, names, counts = sizes, 0, [], []  # low: submissions of a part with ``load`` defects; the others have one more
-        for defect, share in sorted(zip(rows["defect"], rows["target"], strict=True), key=lambda x: (-x[1], x[0])):
-            whole = math.floor(share * size)
-            count = whole + (random.Random(_seed(seed, defect)).random() < share * size - whole)
-            if count > (size if load + 1 < limit else low.sum() if load < limit else 0):
-                raise ValueError(f"the profile does not fit {limit} defects per submission")
-            draw = np.random.default_rng(_seed(seed, defect, "parts"))
-            more = count - low.sum()
-            if more < 0:
-                here = draw.multivariate_hypergeometric(low, count)
-                low = low - here
-            else:
-                extra = draw.multivariate_hypergeometric(sizes - low, more)
-                here, low, load = low + extra, sizes - extra, load + 1
-            names.append(defect)
-            counts.append(here)
-        order = rows.sort_values("position")["defect"].tolist()
-        return pd.DataFrame({"run_id": first["run_id"], "task_id": task, "iteration": iteration, "part": range(len(sizes)), "size": sizes, "names": [names] * len(sizes), "counts": np.stack(counts, 1).tolist(), "order": [order] * len(sizes)})
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        size, part = int(first["size"]), int(first["part"])
-        seed = seed_of(first["task_id"], int(first["iteration"]))
-        load: list[set] = [set() for _ in range(size)]
-        for defect, count in zip(first["names"], first["counts"], strict=True):
-            draw = random.Random(_seed(seed, defect, "placement", *([part] if part else [])))
-            ties = [draw.random() for _ in load]
-            free = sorted((i for i in range(size) if len(load[i]) < limit), key=lambda i: (len(load[i]), ties[i]))
-            for i in free[:count]:
-                load[i].add(defect)
-        begin = part * part_size + 1
-        return pd.DataFrame({"run_id": first["run_id"], "task_id": first["task_id"], "iteration": first["iteration"], "submission_id": range(begin, begin + size), "assigned_defects": [[d for d in first["order"] if d in s] for s in load]})
-
-    joined = batches.join(F.broadcast(target.select("task_id", "defect", "target", "position")), "task_id")
-    parts = joined.groupBy("run_id", "task_id", "iteration").applyInPandas(divide, "run_id string, task_id string, iteration int, part int, size int, names array<string>, counts array<int>, order array<string>")
-    return parts.groupBy("run_id", "task_id", "iteration", "part").applyInPandas(place, "run_id string, task_id string, iteration int, submission_id int, assigned_defects array<string>")
+    seed = F.concat_ws("|", *([F.lit(namespace)] if namespace else []), "task_id", F.col("iteration").cast("string"), F.lit("defect-assignment"), F.col("submission_id").cast("string"))
+    batch = ["run_id", "task_id", "iteration"]
+    rows = submissions.select(*batch, "submission_id", F.sha2(seed, 256).alias("draw")).withColumn("slice", F.substring("draw", 1, SLICE_DIGITS))
+    slices = rows.groupBy(*batch, "slice").agg(F.count("*").alias("n"))
+    before = W.partitionBy(*batch).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "size": F.sum("n").over(W.partitionBy(*batch))})
+    total = F.aggregate("plan", F.lit(0).cast("long"), lambda z, x: z + x["places"])
+    plans = planned_counts(slices.groupBy(*batch).agg(F.sum("n").alias("size")), target, namespace)
+    fits = F.when(total <= F.col("size") * limit, F.col("plan")).otherwise(F.raise_error(F.lit(f"the profile does not fit {limit} defects per submission")))
+    slices = slices.join(plans.select(*batch, fits.alias("plan")), batch)
+    place = F.row_number().over(W.partitionBy(*batch, "slice").orderBy("draw", "submission_id")) - 1 + F.col("before")
+    ranked = rows.join(slices, [*batch, "slice"]).withColumn("place", place)
+    own = F.filter("plan", lambda x: F.pmod(F.col("place") - x["offset"], F.col("size")) < x["places"])
+    return ranked.select(*batch, "submission_id", F.transform(own, lambda x: x["defect"]).alias("assigned_defects"))
 
 
 def mandatory_assignments(submissions: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -1,14 +1,14 @@
-"""Detection of code defects: the one step that reads Python source."""
+"""Detection of code defects in source texts."""
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectlake.functions import python_source as rules
-
-FOUND = "error string, notes string, found map<string, array<struct<line: int, column: int, evidence: string>>>"
+from defectlake.functions import rules
+from defectlake.functions.syntax import read_syntax
 
 
 def check_rules(wanted: tuple[str, ...]) -> None:
@@ -17,68 +17,68 @@ def check_rules(wanted: tuple[str, ...]) -> None:
         raise ValueError(f"unknown defects: {', '.join(unknown)}")
 
 
-def spread(submissions: DataFrame) -> DataFrame:
-    """``submissions`` dealt over all cores where its files give fewer parts than there are cores.
+def _lines(source: str) -> Column:
+    """The lines of a source, without an empty one after a last line end."""
+    lines = F.split(source, rules.LINE_END, -1)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
-    Reading source is the heavy step, and a table of few files would leave most cores idle.
-    """
-    cores = submissions.sparkSession.sparkContext.defaultParallelism
-    return submissions.repartition(cores) if submissions.rdd.getNumPartitions() < cores else submissions
+
+@lru_cache(maxsize=256)
+def _rule(name: str, required: tuple[str, ...]) -> Column:
+    """A rule's findings without their places in the tree. Expressions are long, so each is built once."""
+    return F.transform(rules.RULES[name](required), lambda x: F.struct(x["line"].alias("line"), x["column"].alias("column"), x["evidence"].alias("evidence")))
 
 
-def findings(source: str | Column, wanted: tuple[str, ...] = rules.ACTIVE, required: tuple[str, ...] = ()) -> Column:
-    """A struct (error, notes, found by defect) of a source column, each source parsed once."""
+def with_findings(submissions: DataFrame, wanted: tuple[str, ...] = rules.ACTIVE, required: tuple[str, ...] = (), source: str = "source_code") -> DataFrame:
+    """``submissions`` without the source, with ``f``: a struct (error, notes, found by defect), found without empty ones."""
     check_rules(wanted)
-    names = frozenset(required)
+    others = [c for c in submissions.columns if c != source]
+    lines = F.when(F.col("error").isNull(), _lines(source)).otherwise(F.array().cast("array<string>"))
+    read = read_syntax(submissions, source).withColumn("lines", lines)
+    found = F.map_filter(F.create_map(*[x for name in wanted for x in (F.lit(name), _rule(name, tuple(required)))]), lambda k, v: F.size(v) > 0)
+    return read.select(*others, F.struct("error", "notes", found.alias("found")).alias("f"))
 
-    @F.pandas_udf("string")
-    def read(sources: pd.Series) -> pd.Series:
-        return sources.map(lambda s: rules.inspect(s, wanted, names))
 
-    return F.from_json(read(source), FOUND)
+def detect(submissions: DataFrame, wanted: tuple[str, ...] = rules.ACTIVE, required: tuple[str, ...] = (), source: str = "source_code") -> DataFrame:
+    """``by_defect`` of the submissions' findings."""
+    return by_defect(with_findings(submissions, wanted, required, source), wanted)
 
 
-def detect(submissions: DataFrame, wanted: tuple[str, ...] = rules.ACTIVE, required: tuple[str, ...] = (), source: str = "source_code") -> DataFrame:
-    """One row per submission and wanted defect, with the other columns of ``submissions``.
+def by_defect(found: DataFrame, wanted: tuple[str, ...] = rules.ACTIVE) -> DataFrame:
+    """One row per row of ``with_findings`` and wanted defect, with the other columns.
 
     Adds defect, present, count, locations (line, column, evidence) and notes. A source that
     doesn't parse, or is null, has every defect absent and a note.
     """
-    others = [c for c in submissions.columns if c != source]
-    read = submissions.select(*others, findings(source, wanted, required).alias("f"))
-    each = read.select("*", F.explode(F.array(*[F.lit(w) for w in wanted])).alias("defect"))
-    locations = F.coalesce(F.try_element_at("f.found", "defect"), F.array().cast("array<struct<line: int, column: int, evidence: string>>"))
+    others = [c for c in found.columns if c != "f"]
+    each = found.select("*", F.explode(F.array(*[F.lit(w) for w in wanted])).alias("defect"))
+    locations = F.coalesce(F.try_element_at("f.found", "defect"), F.array().cast(rules.EVIDENCE))
     count = F.size(locations)
     return each.select(*others, "defect", (count > 0).alias("present"), count.alias("count"), locations.alias("locations"), F.coalesce("f.error", "f.notes").alias("notes"))
 
 
 def present_flags(submissions: DataFrame, wanted: tuple[str, ...] = rules.ACTIVE, source: str = "source_code") -> DataFrame:
-    """One row per submission: parse_success, parse_error, and the counts of found defects as a map.
+    """``flags`` of the submissions' findings."""
+    return flags(with_findings(submissions, wanted, (), source))
+
+
+def flags(found: DataFrame) -> DataFrame:
+    """Per row of ``with_findings``: parse_success, parse_error, and the counts of found defects as a map.
 
     For aggregations, which then read a map of a few entries in place of a row for each defect.
     """
-    others = [c for c in submissions.columns if c != source]
-    read = submissions.select(*others, findings(source, wanted).alias("f"))
-    return read.select(*others, F.col("f.error").isNull().alias("parse_success"), F.col("f.error").alias("parse_error"), F.transform_values("f.found", lambda k, v: F.size(v)).alias("counts"))
+    others = [c for c in found.columns if c != "f"]
+    return found.select(*others, F.col("f.error").isNull().alias("parse_success"), F.col("f.error").alias("parse_error"), F.transform_values("f.found", lambda k, v: F.size(v)).alias("counts"))
 
 
 def unsafe_screen(submissions: DataFrame, source: str = "source_code") -> DataFrame:
     """``submissions`` without the source, with ``unsafe_reason``: null if nothing is unsafe or it doesn't parse."""
-
-    @F.pandas_udf("string")
-    def screen(sources: pd.Series) -> pd.Series:
-        return sources.map(rules.unsafe_reason)
-
-    return submissions.withColumn("unsafe_reason", screen(source)).drop(source)
+    others = [c for c in submissions.columns if c != source]
+    return read_syntax(submissions, source).select(*others, rules.unsafe_reason().alias("unsafe_reason"))
 
 
 def line_format_rules(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line, column, rule) of the three line rules over any text; no Python."""
-    lines = rows.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    indent = F.regexp_extract("line", r"^[ \t]*", 0)
-    found = F.array_compact(F.array(
-        F.when(F.contains(indent, F.lit("\t")), F.struct(F.lit(0).alias("column"), F.lit("tab in indentation").alias("rule"))),
-        F.when(~F.contains(indent, F.lit("\t")) & (F.length(indent) % 4 != 0), F.struct(F.lit(0).alias("column"), F.lit("indentation not by four").alias("rule"))),
-        F.when(F.col("line").rlike(r"[ \t]$"), F.struct(F.length(F.regexp_replace("line", r"[ \t]+$", "")).alias("column"), F.lit("trailing blanks").alias("rule"))),
-    ))
-    return lines.select(key, (F.col("at") + 1).alias("line"), F.explode(found).alias("x")).select(key, "line", "x.column", "x.rule")
+    lines = rows.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "text_line"))
+    found = lines.select(key, F.explode(rules.line_findings(F.col("text_line"), F.col("at") + 1)).alias("x"))
+    return found.select(key, "x.line", "x.column", F.get_json_object("x.evidence", "$.rule").alias("rule"))

@@ -54,7 +54,7 @@ def merge_labels(base: DataFrame, reviewed: DataFrame, order: str = "line") -> D
     known = base.select(*KEY).distinct().withColumn("known", F.lit(True))
     checked = last.join(known, KEY, "left").withColumn("m", F.when(F.coalesce("known", F.lit(False)), F.col("m")).otherwise(F.raise_error(F.concat(F.lit("reviewed row of unknown key "), F.concat_ws("/", *KEY)))))
     numbered = base.withColumn("r", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc(order))))
-    joined = numbered.join(F.broadcast(checked.drop("known").withColumn("r", F.lit(1))), [*KEY, "r"], "left")
+    joined = numbered.join(checked.drop("known").withColumn("r", F.lit(1)), [*KEY, "r"], "left")
     new = lambda c: F.when(F.array_contains("names", c), F.col("m")[c]).otherwise(F.col(c)).alias(c)
     status = F.when(F.col("m").isNotNull(), "human-reviewed").otherwise(F.col("label_status")).alias("label_status")
     return joined.select(*[status if c == "label_status" else new(c) if c in ("manual_label", "reviewer", "notes") else F.col(c) for c in base.columns])

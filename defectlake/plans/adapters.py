@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectlake import catalog
-from defectlake.operators.detection import spread
+from defectlake.operators import detection
 from defectlake.plans.templates import CALLS, REASONS, TEMPLATES
+from defectlake.session import keep_once
 
 QUESTIONS = 46
 RUNS = 12
@@ -37,7 +38,13 @@ def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_submissions(spark: SparkSession, sf_dir: str, texts: tuple = tuple(t for t, _ in TEMPLATES)) -> DataFrame:
     """The same with source: a template by key under a comment line that tells it from all others."""
     pick = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("source_row") % len(texts) + 1).cast("int"))
-    return spread(labelled_orders(spark, sf_dir)).withColumn("source_code", F.concat(F.lit("# submission "), F.col("source_row").cast("string"), F.lit("\n"), pick))
+    rows = labelled_orders(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # the table is one small file
+    return rows.withColumn("source_code", F.concat(F.lit("# submission "), F.col("source_row").cast("string"), F.lit("\n"), pick))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of ``code_submissions``, read from source once for all queries of an application."""
+    return keep_once(spark, "findings", sf_dir, lambda: detection.with_findings(code_submissions(spark, sf_dir)))
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +77,11 @@ N_CALLS = len(CALLS)
 
 
 def batch_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as synthetic submissions: one row per run, iteration and submission."""
+    """Line items as synthetic submissions: one row per run, iteration and submission, grouped once for all queries."""
+    return keep_once(spark, "batches", sf_dir, lambda: _batch_submissions(spark, sf_dir))
+
+
+def _batch_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % RUNS).cast("int").alias("r"), F.col("l_linenumber").alias("iteration"), F.col("l_orderkey").alias("submission_id")).agg(F.max("l_partkey").alias("p"), F.max("l_quantity").cast("int").alias("n"), F.max("l_linestatus").alias("s"))
     flags = F.create_map(*[x for i, d in enumerate(TARGET_NAMES) for x in (F.lit(d), F.col("p") % (i + 2) == 0)])
     guided = F.array_compact(F.array(*[F.when(F.col("p") % (i + 3) == 0, F.lit(d)) for i, d in enumerate(TARGET_NAMES)]))

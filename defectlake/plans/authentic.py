@@ -29,7 +29,7 @@ def query(sql: str | None = None, with_: str = A.SUBMISSIONS_SQL):
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = detection.present_flags(A.code_submissions(spark, sf_dir))
+    flags = detection.flags(A.findings(spark, sf_dir))
     return flags.withColumn("valid", prevalence.valid_for_prevalence())
 
 
@@ -75,25 +75,25 @@ roles AS (SELECT DISTINCT authentic_task, task_id, task_family, role FROM s)
 
 @query("SELECT submission_id, defect, present, CAST(instances AS INT) AS count, NOT parse_success AS noted FROM obs")
 def detect(spark, sf_dir):
-    found = detection.detect(A.code_submissions(spark, sf_dir))
+    found = detection.by_defect(A.findings(spark, sf_dir))
     return found.select("submission_id", "defect", "present", "count", F.col("notes").isNotNull().alias("noted"))
 
 
 @query("SELECT defect, count(*) FILTER (present) AS submissions, CAST(sum(instances) AS BIGINT) AS instances FROM obs GROUP BY defect")
 def detect_by_defect(spark, sf_dir):
-    counts = detection.present_flags(A.code_submissions(spark, sf_dir)).select(F.explode("counts").alias("defect", "n"))
+    counts = detection.flags(A.findings(spark, sf_dir)).select(F.explode("counts").alias("defect", "n"))
     found = counts.groupBy("defect").agg(F.count("*").alias("submissions"), F.sum("n").cast("long").alias("instances"))
     return catalog.defects(spark).select("defect").join(found, "defect", "left").fillna(0)
 
 
 @query("SELECT submission_id, parse_success FROM s JOIN parses USING (k)")
 def parse_status(spark, sf_dir):
-    return detection.present_flags(A.code_submissions(spark, sf_dir)).select("submission_id", "parse_success")
+    return detection.flags(A.findings(spark, sf_dir)).select("submission_id", "parse_success")
 
 
 @query("SELECT task_id, defect, CAST(sum(instances) AS BIGINT) AS locations FROM obs WHERE present GROUP BY ALL")
 def detection_summary(spark, sf_dir):
-    found = prevalence.detection_summary(detection.detect(A.code_submissions(spark, sf_dir)))
+    found = prevalence.detection_summary(detection.by_defect(A.findings(spark, sf_dir)))
     return found.where("detection.present").groupBy("task_id", "defect").agg(F.sum(F.size("detection.locations")).alias("locations"))
 
 
@@ -140,7 +140,7 @@ def valid_for_prevalence(spark, sf_dir):
 
 @query("SELECT submission_id, defect, present, eligibility, opportunity_level FROM obs")
 def analyze_submissions(spark, sf_dir):
-    found = detection.detect(A.code_submissions(spark, sf_dir))
+    found = detection.by_defect(A.findings(spark, sf_dir))
     joined = prevalence.analyze_submissions(found, catalog.eligibility(spark))
     return joined.select("submission_id", "defect", "present", F.col("status").alias("eligibility"), "opportunity_level")
 

@@ -150,10 +150,19 @@ def best_attempt(spark, sf_dir):
     return best.select("run_id", "iteration", "submission_id", "attempt", "status", F.array_join("missing_defects", ",").alias("missing_defects"), "attempts_made")
 
 
-@query()
+_SEED = "CAST(('0x' || substr(sha256('T1|' || iteration || '|defect-assignment|' || defect), 1, 16))::UBIGINT % 2147483647 AS DOUBLE) / 2147483647"
+
+
+@query(f"""SELECT b.run_id, 'T1' AS task_id, b.iteration, b.submission_id, coalesce(string_agg(defect, ',' ORDER BY position) FILTER (((b.place - p.before) % b.size + b.size) % b.size < p.places), '') AS assigned FROM
+(SELECT run_id, iteration, submission_id, count(*) OVER (PARTITION BY run_id, iteration) AS size,
+        row_number() OVER (PARTITION BY run_id, iteration ORDER BY sha256('T1|' || iteration || '|defect-assignment|' || submission_id), submission_id) - 1 AS place FROM b) b JOIN
+(SELECT *, coalesce(sum(places) OVER (PARTITION BY run_id, iteration ORDER BY target DESC, defect ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
+ (SELECT *, floor(target * size) + CASE WHEN {_SEED} < target * size - floor(target * size) THEN 1 ELSE 0 END AS places FROM
+  (SELECT run_id, iteration, count(*) AS size FROM b GROUP BY ALL) CROSS JOIN (SELECT defect, CAST(target AS DOUBLE) AS target, position FROM target))) p
+ON p.run_id = b.run_id AND p.iteration = b.iteration GROUP BY ALL""")
 def plan_assignments(spark, sf_dir):
-    sizes = A.batch_submissions(spark, sf_dir).groupBy("run_id", "task_id", "iteration").agg(F.count("*").cast("int").alias("batch_size"))
-    return B.plan_assignments(sizes, A.target(spark).withColumn("task_id", F.lit("T1")))
+    rows = A.batch_submissions(spark, sf_dir).select("run_id", "task_id", "iteration", "submission_id")
+    return B.plan_assignments(rows, A.target(spark).withColumn("task_id", F.lit("T1"))).withColumn("assigned", F.array_join("assigned_defects", ",")).drop("assigned_defects")
 
 
 @query("SELECT run_id, iteration, submission_id, CASE submission_id % 2 WHEN 1 THEN 'one_letter_name' ELSE 'magic_number' END || ',' || CASE submission_id % 3 WHEN 1 THEN 'nested_if' WHEN 2 THEN 'else_if' ELSE 'redundant_not' END AS mandatory FROM b")
@@ -256,10 +265,13 @@ def export_lineage(spark, sf_dir):
 
 @query("SELECT run_id, iteration, 'task_aware_non_adaptive' AS condition, false AS accepted, count(*) AS submissions, count(*) AS attempts FROM b GROUP BY ALL")
 def parse_iteration_payload(spark, sf_dir):
+    """Payloads of parts of an iteration, so that none grows with the table; their numbers are added up."""
     own = F.collect_list(F.struct("submission_id", "status", "defects")).alias("submissions")
-    payloads = A.batch_submissions(spark, sf_dir).groupBy("run_id", "iteration").agg(own).select("run_id", F.to_json(F.struct("iteration", "submissions")).alias("payload_json"))
-    rows = S.parse_iteration_payload(payloads)
-    return rows.select("run_id", "iteration", "condition", "accepted", F.size("submissions").cast("long").alias("submissions"), F.aggregate("submissions", F.lit(0).cast("long"), lambda z, s: z + s["generation_attempts"]).alias("attempts"))
+    part = F.floor(F.col("submission_id") / 1000).alias("part")  # ids are distinct within an iteration
+    payloads = A.batch_submissions(spark, sf_dir).groupBy("run_id", "iteration", part).agg(own).select("run_id", F.to_json(F.struct("iteration", "submissions")).alias("payload_json"))
+    attempts = F.aggregate("submissions", F.lit(0).cast("long"), lambda z, s: z + s["generation_attempts"])
+    rows = S.parse_iteration_payload(payloads).select("run_id", "iteration", "condition", "accepted", F.size("submissions").alias("n"), attempts.alias("a"))
+    return rows.groupBy("run_id", "iteration", "condition", "accepted").agg(F.sum("n").alias("submissions"), F.sum("a").alias("attempts"))
 
 
 # Stored runs

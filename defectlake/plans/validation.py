@@ -100,7 +100,7 @@ def validation_csv(spark, sf_dir):
 
 
 def _candidates(spark: SparkSession, sf_dir: str, eligible_only: bool = True) -> DataFrame:
-    found = detection.detect(A.code_submissions(spark, sf_dir)).withColumn("parse_success", ~F.coalesce(F.col("notes").startswith("Unable to parse source"), F.lit(False)))
+    found = detection.by_defect(A.findings(spark, sf_dir)).withColumn("parse_success", ~F.coalesce(F.col("notes").startswith("Unable to parse source"), F.lit(False)))
     return labels.review_candidates(found, catalog.eligibility(spark), eligible_only)
 
 
@@ -120,16 +120,16 @@ def review_sample(spark, sf_dir):
     return labels.review_sample(_candidates(spark, sf_dir)).select("submission_id", "task_id", "defect", "review_sample_class")
 
 
-@query(f"SELECT submission_id, defect, CASE WHEN requires_review THEN 'uncertain' ELSE detector_label::VARCHAR END AS manual_label, CASE WHEN requires_review THEN 'needs-review' ELSE 'provisional' END AS label_status FROM ({_DRAWN})", _CAND_SQL)
+@query(f"SELECT submission_id, defect, CASE WHEN requires_review THEN 'uncertain' ELSE detector_label::VARCHAR END AS manual_label, CASE WHEN requires_review THEN 'needs-review' ELSE 'provisional' END AS label_status FROM cd", _CAND_SQL)
 def assisted_labels(spark, sf_dir):
-    sample = labels.review_sample(_candidates(spark, sf_dir)).drop("manual_label")
-    return labels.assisted_labels(sample, catalog.defects(spark)).select("submission_id", "defect", "manual_label", "label_status")
+    rows = _candidates(spark, sf_dir).drop("manual_label")
+    return labels.assisted_labels(rows, catalog.defects(spark)).select("submission_id", "defect", "manual_label", "label_status")
 
 
-@query(f"SELECT submission_id, defect, CASE WHEN requires_review AND substr(submission_id, 2)::BIGINT % 3 > 0 THEN '1' WHEN requires_review THEN 'uncertain' ELSE detector_label::VARCHAR END AS manual_label, CASE WHEN requires_review AND substr(submission_id, 2)::BIGINT % 3 > 0 THEN 'human-reviewed' WHEN requires_review THEN 'needs-review' ELSE 'provisional' END AS label_status, CASE WHEN requires_review AND substr(submission_id, 2)::BIGINT % 3 = 1 THEN 'ann' ELSE '' END AS reviewer FROM ({_DRAWN})", _CAND_SQL)
+@query(f"SELECT submission_id, defect, CASE WHEN requires_review AND substr(submission_id, 2)::BIGINT % 3 > 0 THEN '1' WHEN requires_review THEN 'uncertain' ELSE detector_label::VARCHAR END AS manual_label, CASE WHEN requires_review AND substr(submission_id, 2)::BIGINT % 3 > 0 THEN 'human-reviewed' WHEN requires_review THEN 'needs-review' ELSE 'provisional' END AS label_status, CASE WHEN requires_review AND substr(submission_id, 2)::BIGINT % 3 = 1 THEN 'ann' ELSE '' END AS reviewer FROM cd", _CAND_SQL)
 def merge_labels(spark, sf_dir):
-    sample = labels.review_sample(_candidates(spark, sf_dir)).drop("manual_label").select("submission_id", "task_id", "defect", "detector_label", "reviewer")
-    base = labels.assisted_labels(sample, catalog.defects(spark)).drop("reason", "requires_review").withColumn("line", F.xxhash64("submission_id", "defect"))
+    rows = _candidates(spark, sf_dir).drop("manual_label").select("submission_id", "task_id", "defect", "detector_label", "reviewer")
+    base = labels.assisted_labels(rows, catalog.defects(spark)).drop("reason", "requires_review").withColumn("line", F.xxhash64("submission_id", "defect"))
     key = F.substring("submission_id", 2, 20).cast("long") % 3
     done = F.to_json(F.struct("submission_id", "task_id", "defect", F.when(key > 0, "1").otherwise("uncertain").alias("manual_label"), F.when(key == 1, "ann").alias("reviewer")))
     reviewed = base.where("label_status = 'needs-review'").select("line", done.alias("json"))
@@ -183,4 +183,4 @@ def fixture_check(spark, sf_dir):
     code = A.code_submissions(spark, sf_dir)
     wanted = spark.createDataFrame([(k, d, d in (w or {})) for k, (_, w) in enumerate(TEMPLATES) for d in catalog.NAMES], "k int, defect string, expected_present boolean")
     expected = code.select(F.col("submission_id").alias("case_id"), (F.col("source_row") % len(TEMPLATES)).cast("int").alias("k")).join(F.broadcast(wanted), "k")
-    return labels.fixture_check(detection.detect(code), expected).groupBy("defect").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"))
+    return labels.fixture_check(detection.by_defect(A.findings(spark, sf_dir)), expected).groupBy("defect").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"))

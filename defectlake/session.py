@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
@@ -30,7 +31,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}/{name}"
 
 
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def keep_once(spark: SparkSession, name: str, of: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives for the folder ``of``: written once by an application, and read from then on."""
+    key = (spark.sparkContext.applicationId, name, of)
+    if key not in _KEPT or not _file_system(spark, _KEPT[key]).exists(_at(spark, _KEPT[key])):
+        path = shared_path(spark, name)
+        build().write.parquet(path)
+        _KEPT[key] = path
+    return spark.read.parquet(_KEPT[key])
+
+
+def _at(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _at(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete what lies at a path of a file system that Spark knows."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _file_system(spark, path).delete(_at(spark, path), True)

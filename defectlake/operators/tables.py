@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from defectlake.functions.columns import file_name, label_numbers, true_names
+from defectlake.operators.prevalence import omitted_defects, prototype_summary, target_profile
+from defectlake.session import delete, exists, shared_path
 
+# Fixed values.
 VALIDATION_COLUMNS = ("submission_id", "authentic_task", "task_id", "task_family", "lab", "question", "source_row", "test_mode", "status", "functionally_correct", "tests_passed", "tests_failed", "timed_out", "failure_message", "error", "source_code")
 TERMINAL = ("completed", "failed", "cancelled")
 STATUSES = ("draft", "running", "cancelling", *TERMINAL)
 ITERATION = ["run_id", "task_id", "iteration_number"]
+PARTITIONS = ["run_id", "task_id"]
 ORDER_IN_INDEX = ("lab", "question")
 
 
@@ -41,12 +44,22 @@ def write_task_reports(report: DataFrame, catalog: DataFrame, path: str) -> None
     task_index(catalog).coalesce(1).write.mode("overwrite").json(f"{path}/index")
 
 
+def _grouped(reports: DataFrame, catalog: DataFrame) -> DataFrame:
+    lab, question = label_numbers("authentic_task")
+    joined = reports.withColumn("lab", lab).withColumn("question", question).join(F.broadcast(catalog.select("authentic_task", "role")), "authentic_task")
+    own = F.struct("lab", "question", "authentic_task", "role", "functionally_correct", "parseable")
+    return joined.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(own)), lambda x: x.dropFields("lab", "question")).alias("reports"), F.count("*").alias("report_count"))
+
+
 def grouped_reports(report: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per prototype task its task reports in order of lab and question, and their number."""
-    lab, question = label_numbers("authentic_task")
-    nested = nested_reports(report).withColumn("lab", lab).withColumn("question", question)
-    joined = nested.join(F.broadcast(catalog.select("authentic_task", "role")), "authentic_task")
-    return joined.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lab", "question", "authentic_task", "role", "functionally_correct", "parseable"))), lambda x: x.dropFields("lab", "question")).alias("reports"), F.count("*").alias("report_count"))
+    return _grouped(nested_reports(report), catalog)
+
+
+def write_grouped_reports(spark: SparkSession, catalog: DataFrame, path: str) -> None:
+    """A JSON report per prototype task, built again from the task reports that ``write_task_reports`` stored."""
+    stored = spark.read.schema("authentic_task string, task_id string, functionally_correct long, parseable long").json(f"{path}/tasks")
+    _grouped(stored, catalog).repartition("task_id").write.mode("overwrite").partitionBy("task_id").json(f"{path}/grouped")
 
 
 def append_experiment_log(records: DataFrame, path: str) -> None:
@@ -55,9 +68,27 @@ def append_experiment_log(records: DataFrame, path: str) -> None:
 
 
 def upsert_iterations(stored: DataFrame, new: DataFrame, written: str = "created_at") -> DataFrame:
-    """Stored and new iterations, of equal keys the one written last."""
-    rank = F.row_number().over(W.partitionBy(*ITERATION).orderBy(F.desc(written)))
-    return stored.unionByName(new).withColumn("rank", rank).where("rank = 1").drop("rank")
+    """Stored and new iterations, of equal keys the one written last. The best so far moves, not all."""
+    others = [c for c in stored.columns if c not in ITERATION]
+    last = stored.unionByName(new).groupBy(*ITERATION).agg(F.max_by(F.struct(*others), written).alias("last"))
+    return last.select(*[F.col(f"last.{c}").alias(c) if c in others else F.col(c) for c in stored.columns])
+
+
+def store_iterations(new: DataFrame, path: str, written: str = "created_at") -> None:
+    """Put iterations into the table at ``path``, partitioned by run and task, which need not exist yet.
+
+    Only the partitions that ``new`` touches are read, and only they are rewritten.
+    """
+    spark = new.sparkSession
+    stored = new.limit(0)
+    if exists(spark, path):
+        stored = spark.read.schema(new.schema).parquet(path).join(new.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi").select(*new.columns)
+    merged = upsert_iterations(stored, new, written)
+    staged = shared_path(spark, "staged")  # a partition can't be read while it is replaced
+    merged.write.parquet(staged)
+    rows = spark.read.schema(new.schema).parquet(staged)
+    rows.repartition(*PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    delete(spark, staged)
 
 
 def replace_children(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -100,6 +131,11 @@ def list_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
     return runs.orderBy(F.desc("last_used_at"), "run_id").limit(limit)
 
 
+def latest_run(runs: DataFrame) -> DataFrame:
+    """The run used last, if there is any."""
+    return runs.orderBy(F.desc("last_used_at"), "run_id").limit(1)
+
+
 def submission_counts(iterations: DataFrame, submissions: DataFrame) -> DataFrame:
     """(run_id, submissions) over stored iterations."""
     return submissions.join(iterations.select(*ITERATION), ITERATION).groupBy("run_id").agg(F.count("*").alias("submissions"))
@@ -124,3 +160,10 @@ def drop_defect(rows: DataFrame, defect: str) -> DataFrame:
         elif kind == "array<string>":
             out = out.withColumn(name, F.array_remove(name, defect))
     return out
+
+
+def drop_defect_from_results(report: DataFrame, tasks: DataFrame, defects: DataFrame, of_task: DataFrame, defect: str) -> dict[str, DataFrame]:
+    """Stored results without a defect: the report, and summary, profile and omitted lists, built again from task prevalences."""
+    left = drop_defect(defects, defect)
+    summary = prototype_summary(drop_defect(tasks, defect), left, of_task)
+    return {"report": drop_defect(report, defect), "summary": summary, "profile": target_profile(summary, left), "omitted": omitted_defects(summary)}

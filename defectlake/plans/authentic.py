@@ -10,6 +10,7 @@ from defectlake.functions import columns as C
 from defectlake.operators import detection, prevalence, reports, tables
 from defectlake.plans import adapters as A
 from defectlake.plans.templates import CALLS
+from defectlake.session import shared_path
 from defectlake.sources import submissions as S
 
 QUERIES: dict = {}
@@ -309,10 +310,40 @@ def grouped_reports(spark, sf_dir):
     return rows.select("task_id", "report_count", F.array_join(F.transform("reports", lambda r: F.concat_ws(":", r["authentic_task"], r["role"])), ",").alias("reports"))
 
 
-@query("SELECT task_id, count(*) AS rows, count(DISTINCT defect) AS defects FROM tq WHERE defect <> 'magic_number' GROUP BY task_id", TASKS_SQL)
+@query("""SELECT 'report' AS part, authentic_task AS key, defect, round(CAST(affected AS DOUBLE) / nullif(denominator, 0), 9) AS value FROM rp WHERE defect <> 'magic_number' UNION ALL
+SELECT 'summary', task_id, defect, round(p, 9) FROM sm WHERE defect <> 'magic_number' UNION ALL SELECT 'profile', task_id, defect, round(p, 9) FROM pr WHERE defect <> 'magic_number' UNION ALL
+SELECT 'omitted', task_id, coalesce(string_agg(defect, ',' ORDER BY defect) FILTER (p IS NULL), ''), NULL FROM sm WHERE defect <> 'magic_number' GROUP BY task_id""", TASKS_SQL)
 def drop_defect(spark, sf_dir):
     labels = A.labels_of(spark, sf_dir).select("authentic_task", "task_id")
-    return tables.drop_defect(_tasks(spark, sf_dir).join(labels, "authentic_task"), "magic_number").groupBy("task_id").agg(F.count("*").alias("rows"), F.count_distinct("defect").alias("defects"))
+    left = tables.drop_defect_from_results(_report(spark, sf_dir), _tasks(spark, sf_dir), catalog.defects(spark), labels, "magic_number")
+    rows = lambda part, key: left[part].select(F.lit(part).alias("part"), F.col(key).alias("key"), "defect", F.round("prevalence", 9).alias("value"))
+    omitted = left["omitted"].select(F.lit("omitted").alias("part"), F.col("task_id").alias("key"), F.array_join("omitted", ",").alias("defect"), F.lit(None).cast("double").alias("value"))
+    return rows("report", "authentic_task").union(rows("summary", "task_id")).union(rows("profile", "task_id")).union(omitted)
+
+
+def _stored_reports(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_path(spark, "reports")
+    tables.write_task_reports(_report(spark, sf_dir), A.labels_of(spark, sf_dir), path)
+    return path
+
+
+@query("SELECT authentic_task, any_value(task_id) AS task_id, any_value(rp.functionally_correct) AS functionally_correct, count(*) AS defects, replace(authentic_task, ' ', '_') || '.json' AS path FROM rp GROUP BY authentic_task", TASKS_SQL)
+def write_task_reports(spark, sf_dir):
+    """Reports and index written, and read again."""
+    path = _stored_reports(spark, sf_dir)
+    reports = spark.read.schema("authentic_task string, task_id string, functionally_correct long, defects map<string, struct<affected: long>>").json(f"{path}/tasks")
+    index = spark.read.schema("authentic_task string, path string").json(f"{path}/index")
+    return reports.join(index, "authentic_task").select("authentic_task", "task_id", "functionally_correct", F.size("defects").cast("long").alias("defects"), "path")
+
+
+@query("SELECT task_id, count(*) AS report_count, CAST(sum(correct) AS BIGINT) AS correct, count(*) FILTER (role = 'direct') AS direct FROM (SELECT authentic_task, any_value(task_id) AS task_id, any_value(functionally_correct) AS correct FROM rp GROUP BY authentic_task) JOIN roles USING (authentic_task, task_id) GROUP BY task_id", TASKS_SQL)
+def write_grouped_reports(spark, sf_dir):
+    """Grouped reports built from stored task reports, written, and read again."""
+    path = _stored_reports(spark, sf_dir)
+    tables.write_grouped_reports(spark, A.labels_of(spark, sf_dir), path)
+    rows = spark.read.schema("task_id string, report_count long, reports array<struct<role: string, functionally_correct: long>>").json(f"{path}/grouped")
+    total = F.aggregate("reports", F.lit(0).cast("long"), lambda z, x: z + x["functionally_correct"])
+    return rows.select("task_id", "report_count", total.alias("correct"), F.size(F.filter("reports", lambda x: x["role"] == "direct")).cast("long").alias("direct"))
 
 
 # Scalars

@@ -11,6 +11,7 @@ from defectlake.operators import experiments as E
 from defectlake.operators import reports, tables
 from defectlake.plans import adapters as A
 from defectlake.plans.authentic import rounded
+from defectlake.session import shared_path
 from defectlake.sources import submissions as S
 
 QUERIES: dict = {}
@@ -219,10 +220,24 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("experiment-log-"), "run_id").alias("file"), F.posexplode(lines).alias("at", "value")).select("value", "file", (F.col("at") + 1).alias("line"))
 
 
-@query("SELECT run_id AS experiment_id, 'experiment-log-' || run_id AS file, 1 AS line, count(*) AS iterations FROM met GROUP BY run_id", _METRICS_SQL)
+@query("SELECT run_id AS experiment_id, true AS numbered, count(*) AS iterations FROM met GROUP BY run_id", _METRICS_SQL)
 def read_experiment_logs(spark, sf_dir):
-    logs = S.logs_of_lines(_log_lines(spark, sf_dir))
-    return logs.select("experiment_id", "file", "line", F.size(F.col("runs")[0]["iterations"]).cast("long").alias("iterations"))
+    """Log files written, and read again with file and line."""
+    path = shared_path(spark, "logs")
+    _log_lines(spark, sf_dir).select("value").write.text(path)
+    logs = S.read_experiment_logs(spark, path, "*.txt")
+    return logs.select("experiment_id", (F.col("file").endswith(".txt") & (F.col("line") % 4 == 1)).alias("numbered"), F.size(F.col("runs")[0]["iterations"]).cast("long").alias("iterations"))
+
+
+@query("SELECT run_id AS experiment_id, 2 AS records, 2 * count(*) AS iterations FROM met GROUP BY run_id", _METRICS_SQL)
+def append_experiment_log(spark, sf_dir):
+    """Each record appended twice, and read again."""
+    path = shared_path(spark, "log")
+    records = S.logs_of_lines(_log_lines(spark, sf_dir)).drop("file", "line")
+    for _ in range(2):
+        tables.append_experiment_log(records, path)
+    logs = S.read_experiment_logs(spark, path, "*.json")
+    return logs.groupBy("experiment_id").agg(F.count("*").cast("int").alias("records"), F.sum(F.size(F.col("runs")[0]["iterations"])).alias("iterations"))
 
 
 @query("SELECT run_id AS experiment_id, 'T1' AS task_id, condition, round(avg(mae), 9) AS mae FROM met GROUP BY run_id, condition", _METRICS_SQL)
@@ -291,8 +306,12 @@ _STORE_SQL = f"w AS (SELECT DISTINCT printf('run%02d', l_suppkey % {A.RUNS}) AS
 
 @query("SELECT run_id, 'T1' AS task_id, iteration_number, coalesce(max(submission_id) FILTER (late), max(submission_id)) AS payload FROM w GROUP BY ALL", _STORE_SQL)
 def upsert_iterations(spark, sf_dir):
+    """A stored table of iterations, into which later ones are put."""
     writes, _, _ = _stored(spark, sf_dir)
-    return tables.upsert_iterations(writes.where("not late"), writes.where("late")).select("run_id", "task_id", "iteration_number", "payload")
+    path = shared_path(spark, "iterations")
+    for part in ("not late", "late"):
+        tables.store_iterations(writes.where(part), path)
+    return spark.read.schema(writes.schema).parquet(path).select("run_id", "task_id", "iteration_number", "payload")
 
 
 _CHILDREN = "k AS (SELECT run_id, iteration_number, submission_id FROM w x WHERE late AND iteration_number <= 4 UNION ALL SELECT run_id, iteration_number, submission_id FROM w x WHERE NOT late AND NOT EXISTS (SELECT 1 FROM w y WHERE y.late AND y.iteration_number <= 4 AND y.run_id = x.run_id AND y.iteration_number = x.iteration_number))"
@@ -336,6 +355,11 @@ def list_runs(spark, sf_dir):
     return tables.list_runs(tables.run_lifecycle(_events(spark, sf_dir)), 20).select("run_id", "status")
 
 
+@query("SELECT run_id, status FROM lc ORDER BY last_used_at DESC, run_id LIMIT 1", _EVENTS_SQL)
+def latest_run(spark, sf_dir):
+    return tables.latest_run(tables.run_lifecycle(_events(spark, sf_dir))).select("run_id", "status")
+
+
 @query("SELECT run_id, created_at, greatest(last_used_at, m) AS last_used_at FROM lc LEFT JOIN (SELECT run_id, max(ts) + INTERVAL 1 DAY AS m FROM ev WHERE event_type = 'click' GROUP BY run_id) USING (run_id)", _EVENTS_SQL)
 def touch_runs(spark, sf_dir):
     events = A.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").cast("string").alias("run_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("at"))

@@ -136,13 +136,17 @@ def merge_labels(spark, sf_dir):
     return labels.merge_labels(base, reviewed).select("submission_id", "defect", "manual_label", "label_status", "reviewer")
 
 
-def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label lines: the language of a document as the defect, its quality as the human label, its length as the detector's."""
     docs = A.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     rows = A.table(spark, sf_dir, "labels").join(docs, "doc_id")
     known = F.to_json(F.struct(F.col("doc_id").cast("string").alias("submission_id"), F.lit("T1").alias("task_id"), F.col("lang").alias("defect"), F.when(F.col("doc_id") % 10 == 0, "uncertain").otherwise(F.col("quality").cast("string")).alias("manual_label"), (F.col("n_chars") > 600).cast("int").alias("detector_label")))
     lines = F.array(F.lit("# label"), F.lit(""), known)
-    return S.labels_of_lines(rows.select(F.lit("labels.jsonl").alias("file"), F.posexplode(lines).alias("line", "value")))
+    return rows.select(F.lit("labels.jsonl").alias("file"), F.posexplode(lines).alias("line", "value"))
+
+
+def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.labels_of_lines(_label_lines(spark, sf_dir))
 
 
 _LABELS_SQL = """lb AS (SELECT doc_id::VARCHAR AS submission_id, lang AS defect, quality AS manual_label, (n_chars > 600)::INT AS detector_label FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 <> 0),
@@ -155,7 +159,10 @@ rd AS (SELECT d.defect, f1, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 TH
 
 @query("SELECT submission_id, defect, manual_label, detector_label, 'eligible' AS eligibility FROM lb", _LABELS_SQL)
 def read_labels(spark, sf_dir):
-    return _label_rows(spark, sf_dir).select("submission_id", "defect", "manual_label", "detector_label", "eligibility")
+    """Label lines written as files, and read again."""
+    path = shared_path(spark, "labels")
+    _label_lines(spark, sf_dir).select("value").write.text(path)
+    return S.read_labels_jsonl(spark, path, "*.txt").select("submission_id", "defect", "manual_label", "detector_label", "eligibility")
 
 
 @query("SELECT defect, tp, fp, tn, fn, positives, negatives, n, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM cf", _LABELS_SQL)

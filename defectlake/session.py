@@ -37,7 +37,7 @@ _KEPT: dict[tuple[str, str, str], str] = {}
 def keep_once(spark: SparkSession, name: str, of: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``build`` gives for the folder ``of``: written once by an application, and read from then on."""
     key = (spark.sparkContext.applicationId, name, of)
-    if key not in _KEPT or not _file_system(spark, _KEPT[key]).exists(_at(spark, _KEPT[key])):
+    if key not in _KEPT or not exists(spark, _KEPT[key]):
         path = shared_path(spark, name)
         build().write.parquet(path)
         _KEPT[key] = path
@@ -52,6 +52,10 @@ def _file_system(spark: SparkSession, path: str):
     return _at(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path).exists(_at(spark, path))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete what lies at a path of a file system that Spark knows."""
     _file_system(spark, path).delete(_at(spark, path), True)

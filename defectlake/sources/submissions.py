@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from defectlake.functions.columns import family_of_group, task_of_group
+from defectlake.session import exists
 
 LABEL_FIELDS = "submission_id string, task_id string, task_family string, defect string, eligibility string, manual_label string, detector_label string, reviewer string, evidence_reference string, notes string"
 LABEL_NEEDS = ("submission_id", "task_id", "defect", "detector_label")
@@ -106,13 +107,12 @@ def logs_of_lines(lines: DataFrame, record_type: str = "synthetic_generation_exp
     return rows.where(F.col("r.record_type") == record_type).select("file", "line", "r.*")
 
 
-def read_experiment_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_experiment_logs(spark: SparkSession, path: str, glob: str = "experiment-log*.jsonl") -> DataFrame:
     """All experiment logs of a folder with file name and line; a missing folder is empty."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not exists(spark, path):
         schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType()), *T.StructType.fromDDL(LOG).fields])
         return spark.createDataFrame([], schema)
-    return logs_of_lines(_numbered_lines(spark, path, "experiment-log*.jsonl")).orderBy("file", "line")
+    return logs_of_lines(_numbered_lines(spark, path, glob)).orderBy("file", "line")
 
 
 def parse_iteration_payload(rows: DataFrame, column: str = "payload_json") -> DataFrame:

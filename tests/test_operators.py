@@ -195,3 +195,16 @@ def test_written_reports(spark, tmp_path):
 def test_text_columns(spark):
     row = spark.range(1).select(C.normal_output(F.lit(" a \r\nb\t\n")), C.display_name(F.lit("magic_number")), C.file_name(F.lit("Lab 1 Q2")), C.without_family(F.lit("T1_list_processing"), ["list_processing"]), C.stable_seed(F.lit("a"), F.lit(1))).first()
     assert tuple(row)[:4] == ("a\nb", "Magic Number", "Lab_1_Q2.json", "T1") and row[4] == int(hashlib.sha256(b"a|1").hexdigest()[:16], 16) % 2147483647
+
+
+def test_an_upsert_rewrites_only_what_it_touches(spark, tmp_path):
+    path = str(tmp_path / "iterations")
+    ddl = "run_id string, task_id string, iteration_number int, payload string, created_at int"
+    table = lambda *rows: spark.createDataFrame(rows, ddl)
+    tables.store_iterations(table(("a", "T1", 1, "old", 1), ("a", "T1", 2, "old", 1), ("b", "T1", 1, "old", 1)), path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "iterations").rglob("*.parquet")}
+    tables.store_iterations(table(("a", "T1", 2, "new", 2), ("c", "T2", 1, "new", 2), ("c", "T2", 1, "late", 0)), path)
+    found = {(r.run_id, r.task_id, r.iteration_number): r.payload for r in spark.read.schema(ddl).parquet(path).collect()}
+    assert found == {("a", "T1", 1): "old", ("a", "T1", 2): "new", ("b", "T1", 1): "old", ("c", "T2", 1): "new"}
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "iterations").rglob("*.parquet")}
+    assert [f for f in before if after.get(f) == before[f]] == [f for f in before if "run_id=b" in str(f)]

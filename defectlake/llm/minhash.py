@@ -36,6 +36,8 @@ SLACK = 5.0
 BLOCK = 4096
 #: Hashes of a set, from the smallest up, that comparisons within a band value see.
 FINE = 1024
+#: Members whose nodes, 25 bytes each, are sent to all tasks.
+FEW = 100_000
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -220,8 +222,9 @@ class _Group:
             js = js[((lanes[js] == lanes[i]) & (lanes[i] != 0)).argmax(1) == self.c["band"][0]]
         return js[may_pass(regs[i], regs[js], n[i], n[js], self.percent)] if len(js) else js
 
-    def pairs(self) -> tuple[list, list]:
-        a_out, b_out = [], []
+    def pairs(self) -> tuple[list, list, list, list]:
+        """Ends of the pairs, the group's key, and whether each is sure."""
+        a_out, b_out, sure_out = [], [], []
         own, ti, tj = self.c["own"], self.c["ti"][0], self.c["tj"][0]
         left = np.flatnonzero(own == ti)
         right = left if ti == tj else np.flatnonzero(own == tj)
@@ -234,9 +237,10 @@ class _Group:
                 if links:
                     a_out.append(self.c["node"][i])
                     b_out.append(self.c["node"][j])
+                    sure_out.append(sure)
                     if sure or self.tentative:
                         self.root[self.root == self.root[j]] = self.root[i]
-        return a_out, b_out
+        return a_out, b_out, [self.c["key"][0]] * len(a_out), sure_out
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -256,14 +260,14 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame:
-    """Pairs within band values that have a link left to find; they go to verification.
+    """Pairs (a, b, key, sure) within band values that have a link left to find; they go to verification.
 
     members: (key, band, n, n_other, main, node, root, sketch, n_shingles, fine). Sets that links
     already join aren't compared, nor are those that a group has just joined. A link of sets of
     up to FINE hashes is sure at once. Of longer sets a link is likely only: ``tentative`` groups
     count them as joined all the same, so that a group gives at most one pair for each two roots
-    that meet, and the caller must come again where pairs failed; other groups give all such
-    pairs. A pair that agrees in several bands is compared in the first of them only.
+    that meet, and the caller must come again to the band values where an unsure pair failed;
+    other groups give all such pairs. A pair that agrees in several bands is compared in the first of them only.
     """
 
     def run(batches):
@@ -283,20 +287,21 @@ def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame
                 now = {k: np.concatenate([held[k], now[k]]) for k in now}
             new = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["ti"]) != 0) | (np.diff(now["tj"]) != 0)) + 1
             cuts = np.concatenate([[0], new])
-            a_all, b_all = [], []
+            found: tuple[list, ...] = ([], [], [], [])
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                a, b = _Group({k: v[s:e] for k, v in now.items()}, percent, tentative).pairs()
-                a_all += a
-                b_all += b
+                for every, own in zip(found, _Group({k: v[s:e] for k, v in now.items()}, percent, tentative).pairs(), strict=True):
+                    every += own
             held = {k: v[cuts[-1] :] for k, v in now.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(a_all, pa.binary()), pa.array(b_all, pa.binary())], ["a", "b"])
+            yield out(found)
         if held is not None:
-            a, b = _Group(held, percent, tentative).pairs()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            yield out(_Group(held, percent, tentative).pairs())
+
+    def out(found: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.binary(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "key", "sure"])
 
     order = ["key", "ti", "tj"]
     tiled = _tiles(members).select("key", "band", "ti", "tj", "own", "node", "root", "sketch", "n_shingles", "fine")
-    return tiled.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary")
+    return tiled.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary, key long, sure boolean")
 
 
 def _apart(members: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
@@ -310,6 +315,15 @@ def _apart(members: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame
     return spread_join(placed, mixed, "key", heavy, "node")
 
 
+def _with_sets(rest: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
+    """Members with their registers and smallest hashes. Where they are few, tables of sets are cut to theirs before they move."""
+    rest = keep(rest, "rest")
+    if rest.count() <= FEW:
+        few = F.broadcast(rest.select("node").distinct())
+        sets, full = sets.join(few, "node", "left_semi"), full.join(few, "node", "left_semi")
+    return rest.join(sets.select("node", "sketch", "n_shingles"), "node").join(full.select("node", _upper_halves(F.slice("hashes", 1, FINE)).alias("fine")), "node")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, print.
 
@@ -341,18 +355,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     forget(star)
     links = keep(_verified(likely, full, percent), "links")
     forget(likely)
-    tentative = True
+    tentative, some = True, members
     while True:
         roots = keep(components(links, "near"), "roots")
-        rest = _apart(members, pivots, roots).join(sets.select("node", "sketch", "n_shingles"), "node").join(full.select("node", _upper_halves(F.slice("hashes", 1, FINE)).alias("fine")), "node")
-        pairs = keep(_cross_pairs(rest, percent, tentative), "pairs")
+        pairs = keep(_cross_pairs(_with_sets(_apart(some, pivots, roots), sets, full), percent, tentative), "pairs")
         more = keep(_verified(pairs, full, percent), "more")
         met, found = pairs.count(), more.count()
-        forget(pairs)
         if found:
             links = links.union(more)
         if met == found or not tentative:
             break
+        failed = pairs.where(~F.col("sure")).join(more, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_anti").select("key").distinct()
+        some = keep(members.join(failed, "key", "left_semi"), "again")
         tentative = 2 * found >= met  # else one last time, with all pairs that may link
     if found:
         roots = components(links, "all")

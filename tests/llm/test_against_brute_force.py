@@ -352,3 +352,40 @@ def test_secrets(spark):
         assert r.spans == ",".join(f"{p[3]}:{p[0]}:{p[2]}" for p in kept)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{p[3]}:{p[0]}:{p[2]}" for p in kept if p[1] < 3).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(p[1] == k for p in kept) for k in range(3))
+
+
+def _stretched(draw, base, share):
+    """``base`` with one stretch of that share of its words drawn anew."""
+    n = int(len(base) * share)
+    at = draw.randrange(len(base) - n)
+    return [*base[:at], *(f"w{draw.randrange(5000)}" for _ in range(n)), *base[at + n :]]
+
+
+def test_long_near_copies(spark):
+    """Sets beyond FINE hashes with similarities on both sides of the wanted one: all links are found, and no others."""
+    draw = random.Random(3)
+    texts = []
+    for size in (2000, 9000, 20_000):
+        base = [f"w{draw.randrange(5000)}" for _ in range(size)]
+        texts += [" ".join(base)] + [" ".join(_stretched(draw, base, s / 1000)) for s in (60, 100, 120, 125, 130, 135, 140, 145, 150)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    similar = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    assert sum(0.74 <= s <= 0.78 for s in similar.values()) > 5
+    want = roots(range(len(sets)), [p for p, s in similar.items() if s >= 0.75])
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(texts_frame(spark, texts)).collect()} == want
+
+
+def test_long_sets_of_one_band_give_few_pairs(spark):
+    """Of sets that are all near each other, and none joined before, a group gives a pair for each but one."""
+    draw = np.random.default_rng(4)
+    base = np.unique(draw.integers(0, 2**64, 4000, dtype=np.uint64))
+    rows = []
+    for i in range(120):
+        own = np.unique(np.concatenate([base[draw.random(len(base)) < 0.9], draw.integers(0, 2**64, 60, dtype=np.uint64)]))
+        lanes = minhash.registers(own).view(np.int64).copy()
+        lanes[0] = 1  # the band that all share
+        node = bytes([0] * 8 + [i])
+        rows.append((7, 0, 120, 119, bytes(9), node, node, lanes.tolist(), len(own), (own[: minhash.FINE] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()))
+    members = spark.createDataFrame(rows, "key long, band int, n long, n_other long, main binary, node binary, root binary, sketch array<long>, n_shingles long, fine array<int>")
+    assert minhash._cross_pairs(members, 75, True).count() == 119
+    assert minhash._cross_pairs(members, 75, False).count() == 120 * 119 // 2

@@ -113,8 +113,9 @@ class Model:
         return self._features(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1, and ACCEPT at the threshold."""
-        return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.cut + np.log(ACCEPT / (1 - ACCEPT)), -50, 50)))
+        """0 to 1, and ACCEPT exactly at the threshold."""
+        over = self.raw(x) - self.cut
+        return np.where(over == 0, ACCEPT, 1 / (1 + np.exp(-np.clip(over + np.log(ACCEPT / (1 - ACCEPT)), -50, 50))))
 
 
 def learn(measured: DataFrame, labels: DataFrame) -> Model:
@@ -122,7 +123,8 @@ def learn(measured: DataFrame, labels: DataFrame) -> Model:
 
     About MAX_LABELLED rows at most, by hash, reach the driver: vectors of fixed length. Of equal
     rows as many as are their share. The threshold is the quantile of the scores of all labelled rows.
-    Labels other than 0 and 1 are ignored; without both labels every score is ACCEPT.
+    Labels other than 0 and 1 are ignored; of several labels of a document each counts; without both
+    labels every score is ACCEPT.
     """
     label = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out(2, 4))
     labelled = keep(measured.join(label, "doc_id").select("doc_id", "x", "quality"), "labelled")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectlake import catalog
@@ -11,6 +11,8 @@ from defectlake.plans.templates import CALLS, REASONS, TEMPLATES
 from defectlake.session import keep_once
 
 QUESTIONS = 46
+#: Templates that parse, from which a source has its second part.
+SECOND = tuple(k for k, (_, want) in enumerate(TEMPLATES) if want is not None)
 RUNS = 12
 #: Defects of the batch queries with target, standard error and place in the profile.
 TARGET = (("magic_number", 0.30, 0.02, 1), ("one_letter_name", 0.55, 0.05, 2), ("redundant_not", 0.10, 0.0, 3), ("else_if", 0.25, 0.01, 4), ("nested_if", 0.0, 0.0, 5))
@@ -35,11 +37,26 @@ def labelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def code_submissions(spark: SparkSession, sf_dir: str, texts: tuple = tuple(t for t, _ in TEMPLATES)) -> DataFrame:
-    """The same with source: a template by key under a comment line that tells it from all others."""
-    pick = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("source_row") % len(texts) + 1).cast("int"))
-    rows = labelled_orders(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # the table is one small file
-    return rows.withColumn("source_code", F.concat(F.lit("# submission "), F.col("source_row").cast("string"), F.lit("\n"), pick))
+def pick(values: list, key: str) -> Column:
+    """One of some values by the number in a column."""
+    return F.element_at(F.array(*values), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def code_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with source, made from the order: its number, a template by its key and one by its customer, and a line with its amount."""
+    rows = labelled_orders(spark, sf_dir).join(_amounts(spark, sf_dir), "source_row").repartition(spark.sparkContext.defaultParallelism)  # the table is one small file
+    parts = (F.lit("# submission "), F.col("source_row"), F.lit("\n"), pick([F.lit(t) for t, _ in TEMPLATES], "source_row"), pick([F.lit(TEMPLATES[k][0]) for k in SECOND], "customer"), F.lit("share = base * "), F.col("amount"), F.lit("\n"))
+    return rows.withColumn("source_code", F.concat(*[p.cast("string") for p in parts]))
+
+
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_row"), F.col("o_custkey").alias("customer"), (F.floor("o_totalprice") % 5).alias("amount"))
+
+
+def text_submissions(spark: SparkSession, sf_dir: str, texts: tuple = tuple(t for t, _ in TEMPLATES)) -> DataFrame:
+    """The same with one of some texts by key as source, under a comment line that tells it from all others."""
+    rows = labelled_orders(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return rows.withColumn("source_code", F.concat(F.lit("# submission "), F.col("source_row").cast("string"), F.lit("\n"), pick([F.lit(t) for t in texts], "source_row")))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,16 +78,19 @@ s AS (SELECT 'S' || o_orderkey AS submission_id, o_orderkey AS source_row, q, 'L
              CASE WHEN q < 20 THEN 'T1' WHEN q < 39 THEN 'T2' ELSE 'T3' END AS task_id,
              CASE WHEN q < 20 THEN 'conditional_logic' WHEN q < 39 THEN 'list_processing' ELSE 'numeric_iteration' END AS task_family,
              CASE WHEN q % 2 = 0 THEN 'direct' ELSE 'supporting' END AS role,
-             o_orderstatus <> 'P' AS functional_correct, o_orderpriority <> '5-LOW' AS constraint_compliant, o_orderkey % {len(TEMPLATES)} AS k
+             o_orderstatus <> 'P' AS functional_correct, o_orderpriority <> '5-LOW' AS constraint_compliant, o_orderkey % {len(TEMPLATES)} AS k,
+             o_custkey % {len(SECOND)} AS k2, CAST(floor(o_totalprice) AS BIGINT) % 5 AS amount
       FROM (SELECT *, o_custkey % {QUESTIONS} AS q FROM orders)),
 parses AS (SELECT * FROM {_rows([(k, w is not None) for k, (_, w) in enumerate(TEMPLATES)])} AS t(k, parse_success)),
 hits AS (SELECT * FROM {_rows([(k, d, n) for k, (_, w) in enumerate(TEMPLATES) for d, n in (w or {}).items()])} AS t(k, defect, n)),
+hits2 AS (SELECT * FROM {_rows([(i, d, n) for i, k in enumerate(SECOND) for d, n in TEMPLATES[k][1].items()])} AS t(k2, defect, n)),
 defects AS (SELECT * FROM {_rows([(d[0], d[1], d[3]) for d in catalog.DEFECTS])} AS t(defect, category, requires_review)),
 elig AS (SELECT * FROM {_rows([(t, d[0], "eligible" if t in d[2] else "not_applicable", catalog.OPPORTUNITY.get((t, d[0]), "normal")) for t in catalog.FAMILIES for d in catalog.DEFECTS])} AS t(task_id, defect, eligibility, opportunity_level)),
-obs AS (SELECT s.*, parse_success, parse_success AND functional_correct AND constraint_compliant AS valid, d.defect, d.category, d.requires_review,
-               coalesce(h.n, 0) AS instances, coalesce(h.n, 0) > 0 AS present, e.eligibility, e.opportunity_level
-        FROM s JOIN parses USING (k) CROSS JOIN defects d LEFT JOIN hits h ON h.k = s.k AND h.defect = d.defect
-        JOIN elig e ON e.task_id = s.task_id AND e.defect = d.defect)
+counted AS (SELECT s.*, parse_success, parse_success AND functional_correct AND constraint_compliant AS valid, d.defect, d.category, d.requires_review,
+               CASE WHEN parse_success THEN coalesce(h.n, 0) + coalesce(g.n, 0) + CASE WHEN d.defect = 'magic_number' AND amount > 1 THEN 1 ELSE 0 END ELSE 0 END AS instances, e.eligibility, e.opportunity_level
+        FROM s JOIN parses USING (k) CROSS JOIN defects d LEFT JOIN hits h ON h.k = s.k AND h.defect = d.defect LEFT JOIN hits2 g ON g.k2 = s.k2 AND g.defect = d.defect
+        JOIN elig e ON e.task_id = s.task_id AND e.defect = d.defect),
+obs AS (SELECT *, instances > 0 AS present FROM counted)
 """
 REASONS_SQL = _rows(list(enumerate(REASONS)))
 N_CALLS = len(CALLS)

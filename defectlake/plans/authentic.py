@@ -9,7 +9,7 @@ from defectlake import catalog
 from defectlake.functions import columns as C
 from defectlake.operators import detection, prevalence, reports, tables
 from defectlake.plans import adapters as A
-from defectlake.plans.templates import CALLS
+from defectlake.plans.templates import CALLS, TEMPLATES
 from defectlake.session import shared_path
 from defectlake.sources import submissions as S
 
@@ -80,6 +80,18 @@ def detect(spark, sf_dir):
     return found.select("submission_id", "defect", "present", "count", F.col("notes").isNotNull().alias("noted"))
 
 
+_LENGTHS = [A.catalog.values_sql([(i, TEMPLATES[k][0].count("\n")) for i, k in enumerate(own)]) for own in (range(len(TEMPLATES)), A.SECOND)]
+
+
+@query(f"""SELECT submission_id, CAST(2 + a.n + b.n AS INT) AS line, 15 AS "column", CAST(amount AS VARCHAR) AS value, 'computation' AS context
+FROM s JOIN parses USING (k) JOIN (SELECT * FROM {_LENGTHS[0]} AS v(k, n)) a USING (k) JOIN (SELECT * FROM {_LENGTHS[1]} AS v(k2, n)) b USING (k2) WHERE parse_success AND amount > 1""")
+def finding_places(spark, sf_dir):
+    """Where the number of each source's last line is found, and the evidence."""
+    found = detection.by_defect(A.findings(spark, sf_dir)).where("defect = 'magic_number' and amount > 1 and present")
+    last = found.select("submission_id", F.array_max("locations").alias("x"))
+    return last.select("submission_id", "x.line", "x.column", F.get_json_object("x.evidence", "$.value").alias("value"), F.get_json_object("x.evidence", "$.context").alias("context"))
+
+
 @query("SELECT defect, count(*) FILTER (present) AS submissions, CAST(sum(instances) AS BIGINT) AS instances FROM obs GROUP BY defect")
 def detect_by_defect(spark, sf_dir):
     counts = detection.flags(A.findings(spark, sf_dir)).select(F.explode("counts").alias("defect", "n"))
@@ -98,17 +110,17 @@ def detection_summary(spark, sf_dir):
     return found.where("detection.present").groupBy("task_id", "defect").agg(F.sum(F.size("detection.locations")).alias("locations"))
 
 
-@query("SELECT submission_id, n AS findings FROM s JOIN (SELECT * FROM (VALUES (0, 1), (1, 1), (2, 1), (3, 2)) AS v(r, n)) ON r = source_row % 4")
+@query("SELECT submission_id, n AS findings FROM s JOIN (SELECT * FROM (VALUES (0, 1), (1, 1), (2, 1), (3, 2), (4, 1)) AS v(r, n)) ON r = source_row % 5")
 def optional_rules(spark, sf_dir):
-    texts = ("for item in [1]:\n    print(item)\n", "for item in range(2, 3):\n    print(item)\n", "unused = 5\nprint(total)\n", "tmp = 5\nprint(tmp == True)\n")
+    texts = ("for item in [1]:\n    print(item)\n", "for item in range(2, 3):\n    print(item)\n", "unused = 5\nprint(total)\n", "tmp = 5\nprint(tmp == True)\n", "for item in range(4):\n    if item:\n        while ready:\n            print(item)\n")
     wanted = ("redundant_for", "non_descriptive_naming", "unused_variable", "redundant_boolean_comparison", "excessive_nesting")
-    found = detection.detect(A.code_submissions(spark, sf_dir, texts), wanted)
+    found = detection.detect(A.text_submissions(spark, sf_dir, texts), wanted)
     return found.groupBy("submission_id").agg(F.count_if("present").alias("findings"))
 
 
-@query(f"SELECT submission_id, reason AS unsafe_reason FROM s JOIN (SELECT * FROM {A.REASONS_SQL} AS v(k2, reason)) ON k2 = source_row % {A.N_CALLS}")
+@query(f"SELECT submission_id, reason AS unsafe_reason FROM s JOIN (SELECT * FROM {A.REASONS_SQL} AS v(k3, reason)) ON k3 = source_row % {A.N_CALLS}")
 def unsafe_screen(spark, sf_dir):
-    return detection.unsafe_screen(A.code_submissions(spark, sf_dir, CALLS)).select("submission_id", "unsafe_reason")
+    return detection.unsafe_screen(A.text_submissions(spark, sf_dir, CALLS)).select("submission_id", "unsafe_reason")
 
 
 _LINES_SQL = r"""

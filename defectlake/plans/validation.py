@@ -89,7 +89,7 @@ def failure_messages(spark, sf_dir):
 def validation_csv(spark, sf_dir):
     """Both validation sets written as CSV and read again, with their source code of several lines."""
     path = shared_path(spark, "validation")
-    code = A.code_submissions(spark, sf_dir).select("submission_id", "source_code", F.lit(1).alias("lab"), F.col("question_no").alias("question"))
+    code = A.text_submissions(spark, sf_dir).select("submission_id", "source_code", F.lit(1).alias("lab"), F.col("question_no").alias("question"))
     tables.write_validation_sets(_results(spark, sf_dir).join(code, "submission_id").withColumn("timed_out", F.lit(False)).withColumn("error", F.lit("")), path)
     parts = [S.read_validation_csv(spark, f"{path}/{name}").withColumn("part", F.lit(name)) for name in ("all", "correct")]
     lines = F.size(F.split("source_code", "\n", -1)) - 1
@@ -187,7 +187,9 @@ def overall_readiness(spark, sf_dir):
 
 @query("SELECT defect, count(*) AS cases, count(*) AS passed FROM obs GROUP BY defect")
 def fixture_check(spark, sf_dir):
-    code = A.code_submissions(spark, sf_dir)
-    wanted = spark.createDataFrame([(k, d, d in (w or {})) for k, (_, w) in enumerate(TEMPLATES) for d in catalog.NAMES], "k int, defect string, expected_present boolean")
-    expected = code.select(F.col("submission_id").alias("case_id"), (F.col("source_row") % len(TEMPLATES)).cast("int").alias("k")).join(F.broadcast(wanted), "k")
+    names = lambda k: F.array(*[F.lit(d) for d in TEMPLATES[k][1] or {}]).cast("array<string>")
+    parses = A.pick([F.lit(w is not None) for _, w in TEMPLATES], "source_row")
+    whole = F.concat(A.pick([names(k) for k in range(len(TEMPLATES))], "source_row"), A.pick([names(k) for k in A.SECOND], "customer"), F.when(F.col("amount") > 1, F.array(F.lit("magic_number"))).otherwise(F.array().cast("array<string>")))
+    every = A.code_submissions(spark, sf_dir).select(F.col("submission_id").alias("case_id"), F.when(parses, whole).otherwise(F.array().cast("array<string>")).alias("names"), F.explode(F.array(*[F.lit(d) for d in catalog.NAMES])).alias("defect"))
+    expected = every.select("case_id", "defect", F.array_contains("names", F.col("defect")).alias("expected_present"))
     return labels.fixture_check(detection.by_defect(A.findings(spark, sf_dir)), expected).groupBy("defect").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"))

@@ -28,7 +28,7 @@ from defectlake.llm.scratch import keep
 
 COSINE = 0.98
 #: Standard deviations below the mean at which a filter still lists a vector. Up to 13 dimensions
-#: the angles force more, and no pair is missed; in 64, one in about 100,000 is.
+#: the angles force more, and no pair is missed; in 64, one of 200,000 pairs at the limit was.
 SLACK = 3.5
 #: Least and most codewords of a block.
 CODEWORDS = (8, 1024)

@@ -305,7 +305,10 @@ def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame
 
 
 def _apart(members: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the band values in which not all sets have one root yet: key, band, n, n_other, main, node, root."""
+    """Members of the band values in which not all sets have one root yet: key, band, n, n_other, main, node, root.
+
+    ``pivots`` are those of the members' band values, each with its size.
+    """
     root_of = roots.select(F.col("node").alias("of_node"), "root")
     placed = members.join(root_of, F.col("node") == F.col("of_node"), "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     main = pivots.join(root_of, F.col("b") == F.col("of_node"), "left").select("key", "size", F.coalesce("root", "b").alias("main"))
@@ -366,7 +369,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         if met == found or not tentative:
             break
         failed = pairs.where(~F.col("sure")).join(more, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_anti").select("key").distinct()
-        some = keep(members.join(failed, "key", "left_semi"), "again")
+        some, pivots = keep(members.join(failed, "key", "left_semi"), "again"), pivots.join(failed, "key", "left_semi")
         tentative = 2 * found >= met  # else one last time, with all pairs that may link
     if found:
         roots = components(links, "all")

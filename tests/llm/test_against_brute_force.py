@@ -139,7 +139,7 @@ def test_vectors(spark):
 
 @pytest.mark.parametrize("codewords", [8, 17, 64])
 def test_close_pairs_meet_in_a_filter(codewords):
-    """All of few dimensions; of many, all but one in about 100,000."""
+    """All of few dimensions; of many, all but very few at the limit."""
     draw = np.random.default_rng(8)
     for dims, n in ((1, 400), (2, 400), (3, 400), (13, 2000), (64, 6000), (65, 2000)):
         v = draw.standard_normal((n, dims))

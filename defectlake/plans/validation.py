@@ -51,12 +51,15 @@ def score_cases(spark, sf_dir):
     return validation.score_cases(_cases(spark, sf_dir))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders", None)
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_orderpriority NOT LIKE '% %' OR o_orderkey % 4 = 1 OR o_orderkey % 4 = 3 AND floor(o_totalprice) % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders""", None)
 def compare_structured(spark, sf_dir):
-    key = F.col("o_orderkey")
-    number = key.cast("string")
-    answer = F.when(key % 4 == 0, F.concat(F.lit('["a+1", '), number, F.lit("]"))).when(key % 4 == 1, F.concat(F.lit("('a + 1', "), number, F.lit(")"))).when(key % 4 == 2, F.lit("broken(")).otherwise(F.concat(F.lit('["a + 2", '), number, F.lit("]")))
-    rows = A.table(spark, sf_dir, "orders").select("o_orderkey", answer.alias("answer"), F.concat(F.lit('["a + 1", '), number, F.lit("]")).alias("reference"))
+    """Answers made from an order's priority and price, in another spelling, as a tuple, broken, or with another price."""
+    key, price = F.col("o_orderkey"), F.floor("o_totalprice")
+    made = lambda begin, priority, amount, end: F.concat(F.lit(begin + '"'), priority, F.lit('", '), key.cast("string"), F.lit(", "), amount.cast("string"), F.lit(end))
+    spaced = made("[", F.replace("o_orderpriority", F.lit("-"), F.lit(" - ")), price, "]")  # the same where it is an expression
+    plain = F.col("o_orderpriority")
+    answer = F.when(key % 4 == 0, spaced).when(key % 4 == 1, made("(", plain, price, ",)")).when(key % 4 == 2, made("broken(", plain, price, "]")).otherwise(made("[", plain, price + price % 2, "]"))
+    rows = A.table(spark, sf_dir, "orders").select("o_orderkey", answer.alias("answer"), made("[", plain, price, "]").alias("reference"))
     return validation.compare_structured(rows).select("o_orderkey", "status")
 
 

@@ -29,14 +29,20 @@ def _rule(name: str, required: tuple[str, ...]) -> Column:
     return F.transform(rules.RULES[name](required), lambda x: F.struct(x["line"].alias("line"), x["column"].alias("column"), x["evidence"].alias("evidence")))
 
 
+def _read(submissions: DataFrame, source: str) -> tuple[DataFrame, list[Column]]:
+    """The syntax of the sources, and the other columns; these are packed, so that their names can't clash."""
+    others = [c for c in submissions.columns if c != source]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(True).alias("any"))
+    return read_syntax(submissions.select(row.alias("row"), F.col(source).alias("source")), "source"), [F.col("row")[c].alias(c) for c in others]
+
+
 def with_findings(submissions: DataFrame, wanted: tuple[str, ...] = rules.ACTIVE, required: tuple[str, ...] = (), source: str = "source_code") -> DataFrame:
     """``submissions`` without the source, with ``f``: a struct (error, notes, found by defect), found without empty ones."""
     check_rules(wanted)
-    others = [c for c in submissions.columns if c != source]
-    lines = F.when(F.col("error").isNull(), _lines(source)).otherwise(F.array().cast("array<string>"))
-    read = read_syntax(submissions, source).withColumn("lines", lines)
+    read, others = _read(submissions, source)
+    read = read.withColumn("lines", F.when(F.col("error").isNull(), _lines("source")).otherwise(F.array().cast("array<string>")))
     found = F.map_filter(F.create_map(*[x for name in wanted for x in (F.lit(name), _rule(name, tuple(required)))]), lambda k, v: F.size(v) > 0)
-    return read.select(*others, F.struct("error", "notes", found.alias("found")).alias("f"))
+    return read.select("row", F.struct("error", "notes", found.alias("found")).alias("f")).select(*others, "f")
 
 
 def detect(submissions: DataFrame, wanted: tuple[str, ...] = rules.ACTIVE, required: tuple[str, ...] = (), source: str = "source_code") -> DataFrame:
@@ -73,8 +79,8 @@ def flags(found: DataFrame) -> DataFrame:
 
 def unsafe_screen(submissions: DataFrame, source: str = "source_code") -> DataFrame:
     """``submissions`` without the source, with ``unsafe_reason``: null if nothing is unsafe or it doesn't parse."""
-    others = [c for c in submissions.columns if c != source]
-    return read_syntax(submissions, source).select(*others, rules.unsafe_reason().alias("unsafe_reason"))
+    read, others = _read(submissions, source)
+    return read.select("row", rules.unsafe_reason().alias("unsafe_reason")).select(*others, "unsafe_reason")
 
 
 def line_format_rules(rows: DataFrame, key: str, text: str = "text") -> DataFrame:

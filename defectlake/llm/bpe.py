@@ -24,8 +24,8 @@ from defectlake.llm import text as tx
 
 #: States, pairs and pieces that a Python worker keeps at most.
 MAX_STATES = 20_000
-MAX_PAIRS = 500_000
-MAX_PIECES = 600_000
+MAX_PAIRS = 250_000
+MAX_PIECES = 250_000
 #: Longer pieces are not kept.
 LONG_PIECE = 64
 

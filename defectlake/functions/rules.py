@@ -432,7 +432,7 @@ def line_findings(line: Column, number: Column) -> Column:
 
 
 #: Where Python ends a line.
-LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
+LINE_END = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 @rule

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm import bpe, decontaminate, embeddings, langid, line_dedup, minhash, ppm, quality, secrets, sharding
+from defectlake.llm import bpe, decontaminate, embeddings, langid, line_dedup, manifest, minhash, ppm, quality, secrets, sharding
 from defectlake.llm.scratch import table
 
 
@@ -54,5 +54,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_embeddings": op4_embeddings, "op5_lm_score": op5_lm_score, "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets}
-ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_secrets": secrets.oracle()}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_embeddings": op4_embeddings, "op5_lm_score": op5_lm_score,
+    "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets,
+    "op11_manifest": op11_manifest,
+}
+ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_secrets": secrets.oracle(), "op11_manifest": manifest.ORACLE}

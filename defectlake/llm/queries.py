@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm import bpe, decontaminate, embeddings, langid, line_dedup, manifest, minhash, phrases, ppm, quality, secrets, sharding
+from defectlake.llm import bpe, decontaminate, embeddings, langid, licenses, line_dedup, manifest, minhash, phrases, ppm, quality, secrets, sharding
 from defectlake.llm.scratch import table
 
 
@@ -62,9 +62,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash, "op2_sharding": op2_sharding, "op3_quality": op3_quality, "op4_embeddings": op4_embeddings, "op5_lm_score": op5_lm_score,
     "op6_decontamination": op6_decontamination, "op7_bpe": op7_bpe, "op8_language": op8_language, "op9_line_dedup": op9_line_dedup, "op10_secrets": op10_secrets,
-    "op11_manifest": op11_manifest, "op12_collocations": op12_collocations,
+    "op11_manifest": op11_manifest, "op12_collocations": op12_collocations, "op13_licenses": op13_licenses,
 }
 ORACLES = {"op6_decontamination": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_secrets": secrets.oracle(), "op11_manifest": manifest.ORACLE, "op12_collocations": phrases.oracle()}

@@ -40,9 +40,9 @@ def _parsed(text: str):
 
 
 def _plain(value):
-    """Tuples as lists, and strings that are expressions by their syntax."""
+    """Strings that are expressions by their syntax; a tuple stays apart from a list."""
     if isinstance(value, (list, tuple)):
-        return [_plain(v) for v in value]
+        return type(value)(_plain(v) for v in value)
     if isinstance(value, dict):
         return {k: _plain(v) for k, v in value.items()}
     if isinstance(value, str):
@@ -62,7 +62,10 @@ def compare_answers(answer: str | None, reference: str | None) -> tuple[str, str
 
 
 def compare_structured(rows: DataFrame, answer: str = "answer", reference: str = "reference") -> DataFrame:
-    """``rows`` with status and failure_message of structured answers; literals are parsed, nothing runs."""
+    """``rows`` with status and failure_message of structured answers; literals are parsed, nothing runs.
+
+    Equal are values of equal type: a tuple equals no list. A null answer or reference fails, as do texts that are no literal.
+    """
 
     @F.pandas_udf("status string, failure_message string")
     def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:

@@ -51,9 +51,9 @@ def score_cases(spark, sf_dir):
     return validation.score_cases(_cases(spark, sf_dir))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_orderpriority NOT LIKE '% %' OR o_orderkey % 4 = 1 OR o_orderkey % 4 = 3 AND floor(o_totalprice) % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders""", None)
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND o_orderpriority NOT LIKE '% %' OR o_orderkey % 4 = 3 AND floor(o_totalprice) % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders""", None)
 def compare_structured(spark, sf_dir):
-    """Answers made from an order's priority and price, in another spelling, as a tuple, broken, or with another price."""
+    """Answers made from an order's priority and price, in another spelling, as a tuple where a list is asked for, broken, or with another price."""
     key, price = F.col("o_orderkey"), F.floor("o_totalprice")
     made = lambda begin, priority, amount, end: F.concat(F.lit(begin + '"'), priority, F.lit('", '), key.cast("string"), F.lit(", "), amount.cast("string"), F.lit(end))
     spaced = made("[", F.replace("o_orderpriority", F.lit("-"), F.lit(" - ")), price, "]")  # the same where it is an expression

@@ -61,7 +61,7 @@ def text_submissions(spark: SparkSession, sf_dir: str, texts: tuple = tuple(t fo
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of ``code_submissions``, read from source once for all queries of an application."""
-    return keep_once(spark, "findings", sf_dir, lambda: detection.with_findings(code_submissions(spark, sf_dir)))
+    return keep_once(spark, "findings", f"{sf_dir}/orders.parquet", lambda: detection.with_findings(code_submissions(spark, sf_dir)))
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ N_CALLS = len(CALLS)
 
 def batch_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as synthetic submissions: one row per run, iteration and submission, grouped once for all queries."""
-    return keep_once(spark, "batches", sf_dir, lambda: _batch_submissions(spark, sf_dir))
+    return keep_once(spark, "batches", f"{sf_dir}/lineitem.parquet", lambda: _batch_submissions(spark, sf_dir))
 
 
 def _batch_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,17 +31,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}/{name}"
 
 
-_KEPT: dict[tuple[str, str, str], str] = {}
-
-
-def keep_once(spark: SparkSession, name: str, of: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``build`` gives for the folder ``of``: written once by an application, and read from then on."""
-    key = (spark.sparkContext.applicationId, name, of)
-    if key not in _KEPT or not exists(spark, _KEPT[key]):
-        path = shared_path(spark, name)
-        build().write.parquet(path)
-        _KEPT[key] = path
-    return spark.read.parquet(_KEPT[key])
+_KEPT: dict[tuple[str, str, str], tuple[tuple, str]] = {}
+
+
+def files_of(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of change of each file under a path, in order; the driver lists names only."""
+    listed, found = _file_system(spark, path).listFiles(_at(spark, path), True), []
+    while listed.hasNext():
+        file = listed.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def keep_once(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives from the files under the path ``source``.
+
+    Written once by an application and read from then on, until a file of the source changes: then it is built again and
+    the old one deleted, so what reads that must have run. A source that changes meanwhile is noticed by the next call.
+    """
+    key, now = (spark.sparkContext.applicationId, name, source), files_of(spark, source)
+    before, path = _KEPT.get(key, ((), ""))
+    if before != now or not exists(spark, path):
+        fresh = shared_path(spark, name)
+        build().write.parquet(fresh)
+        _KEPT[key] = now, fresh
+        if path:
+            delete(spark, path)
+        path = fresh
+    return spark.read.parquet(path)
 
 
 def _at(spark: SparkSession, path: str):

@@ -75,11 +75,20 @@ def stable_seed(*parts) -> Column:
     return (F.conv(F.substring(F.sha2(joined, 256), 1, 16), 16, 10).cast("decimal(20,0)") % 2147483647).cast("long")
 
 
+#: The characters that ``str.strip`` takes, as a class of a pattern.
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def stripped(text) -> Column:
+    """A text without blanks at its ends."""
+    return F.regexp_replace(_c(text), rf"\A{BLANK}+|{BLANK}+\z", "")
+
+
 def normal_output(text) -> Column:
     """Line ends as LF, no blanks at line ends or around the whole."""
     lines = F.split(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", ""))
-    return F.regexp_replace(F.array_join(trimmed, "\n"), r"^\s+|\s+$", "")
+    trimmed = F.transform(lines, lambda x: F.regexp_replace(x, rf"{BLANK}+\z", ""))
+    return stripped(F.array_join(trimmed, "\n"))
 
 
 def true_names(flags) -> Column:

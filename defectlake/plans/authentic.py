@@ -244,11 +244,11 @@ def task_catalog(spark, sf_dir):
     return S.task_catalog(whole)
 
 
-@query("""SELECT 'Lab_1_Q' || q || '_R' || o_orderkey AS submission_id, 'Lab 1 Q' || q AS authentic_task, CAST(q AS INT) AS question, 'T1' AS task_id, code AS source_code, nullif(CASE q WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderstatus END END, ' ') AS reference_code, o_orderkey AS source_row
-FROM (SELECT *, unnest([1, 2]) AS q, unnest([CASE WHEN o_orderkey % 5 = 0 THEN '  ' ELSE o_orderpriority END, CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END]) AS code FROM orders) WHERE trim(code) <> ''""", None)
+@query("""SELECT 'Lab_1_Q' || q || '_R' || o_orderkey AS submission_id, 'Lab 1 Q' || q AS authentic_task, CAST(q AS INT) AS question, 'T1' AS task_id, code AS source_code, nullif(CASE q WHEN 1 THEN CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderstatus END END, '') AS reference_code, o_orderkey AS source_row
+FROM (SELECT *, unnest([1, 2]) AS q, unnest([CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || chr(9) ELSE o_orderpriority END, CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END]) AS code FROM orders) WHERE trim(code, chr(10) || chr(9) || ' ') <> ''""", None)
 def submissions_from_wide(spark, sf_dir):
     key = F.col("o_orderkey")
-    sheet = A.table(spark, sf_dir, "orders").select(key.alias("source_row"), F.when(key % 5 == 0, "  ").otherwise(F.col("o_orderpriority")).alias("Response 1"), F.when(key % 3 == 0, " ").otherwise(F.col("o_orderstatus")).alias("Right answer 1"), F.when(key % 7 > 0, F.col("o_orderstatus")).alias("Response 2"))
+    sheet = A.table(spark, sf_dir, "orders").select(key.alias("source_row"), F.when(key % 5 == 0, "\n\t").otherwise(F.col("o_orderpriority")).alias("Response 1"), F.when(key % 6 == 0, "").when(key % 3 == 0, " ").otherwise(F.col("o_orderstatus")).alias("Right answer 1"), F.when(key % 7 > 0, F.col("o_orderstatus")).alias("Response 2"))
     return S.submissions_from_wide(sheet, 1, [1, 2], A.labels_of(spark, sf_dir)).drop("lab", "task_family")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from defectlake.functions.columns import family_of_group, task_of_group
+from defectlake.functions.columns import family_of_group, stripped, task_of_group
 from defectlake.session import exists
 
 LABEL_FIELDS = "submission_id string, task_id string, task_family string, defect string, eligibility string, manual_label string, detector_label string, reviewer string, evidence_reference string, notes string"
@@ -45,10 +45,10 @@ def submissions_from_wide(sheet: DataFrame, lab: int, questions: list[int], cata
         raise ValueError(f"missing columns: {', '.join(missing)}")
     answer = lambda q: F.col(f"`Right answer {q}`") if f"Right answer {q}" in sheet.columns else F.lit(None).cast("string")
     each = F.explode(F.array(*[F.struct(F.lit(q).alias("question"), F.col(f"`Response {q}`").alias("source_code"), answer(q).alias("answer")) for q in questions]))
-    rows = sheet.select(F.col(row).alias("source_row"), each.alias("x")).select("source_row", "x.*").where(F.trim("source_code") != "")
+    rows = sheet.select(F.col(row).alias("source_row"), each.alias("x")).select("source_row", "x.*").where(stripped("source_code") != "")
     rows = rows.withColumn("authentic_task", F.format_string(f"Lab {lab} Q%d", "question")).join(F.broadcast(catalog), "authentic_task", "left")
     task = F.when(F.col("task_id").isNotNull(), F.col("task_id")).otherwise(F.raise_error(F.concat(F.lit("unmapped label "), "authentic_task")))
-    return rows.select(F.format_string(f"Lab_{lab}_Q%d_R%d", "question", "source_row").alias("submission_id"), "authentic_task", F.lit(lab).alias("lab"), "question", task.alias("task_id"), "task_family", "source_code", F.nullif(F.trim("answer"), F.lit("")).alias("reference_code"), "source_row")
+    return rows.select(F.format_string(f"Lab_{lab}_Q%d_R%d", "question", "source_row").alias("submission_id"), "authentic_task", F.lit(lab).alias("lab"), "question", task.alias("task_id"), "task_family", "source_code", F.nullif("answer", F.lit("")).alias("reference_code"), "source_row")
 
 
 def eligibility_table(specification: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def read_validation_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def labels_of_lines(lines: DataFrame) -> DataFrame:
     """Label rows of JSON lines (value, file, line): blank, # and undecided ones skipped, a bad one is an error."""
-    kept = lines.where(~F.trim("value").rlike("^(#|$)"))
-    rows = kept.select("file", "line", F.from_json("value", LABEL_FIELDS, {"mode": "PERMISSIVE"}).alias("r"))
+    kept = lines.where(~stripped("value").rlike("^(#|$)"))
+    rows = kept.select("file", "line", F.from_json(stripped("value"), LABEL_FIELDS, {"mode": "PERMISSIVE"}).alias("r"))
     where = F.concat_ws(":", "file", F.col("line").cast("string"))
     lacking = F.col("r").isNull()
     for name in LABEL_NEEDS:
@@ -103,7 +103,7 @@ def read_labels_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") ->
 
 def logs_of_lines(lines: DataFrame, record_type: str = "synthetic_generation_experiment") -> DataFrame:
     """Experiment records of JSON lines (value, file, line); blank, malformed and other lines are skipped."""
-    rows = lines.where(F.trim("value") != "").select("file", "line", F.from_json("value", LOG).alias("r"))
+    rows = lines.where(stripped("value") != "").select("file", "line", F.from_json(stripped("value"), LOG).alias("r"))
     return rows.where(F.col("r.record_type") == record_type).select("file", "line", "r.*")
 
 

@@ -6,7 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from defectlake import catalog
+from defectlake import catalog, session
 from defectlake.functions import columns as C
 from defectlake.operators import batches, detection, experiments, labels, prevalence, reports, tables, validation
 from defectlake.sources import submissions as S
@@ -143,7 +143,7 @@ def test_catalog_and_wide_sheet(spark):
     assert {r.authentic_task: (r.task_id, r.task_family, r.role) for r in known.collect()} == {"Lab 1 Q1": ("T1", "conditional_logic", "direct"), "Lab 1 Q2": ("T2", "list_processing", "supporting")}
     sheet = spark.createDataFrame([(3, "a = 1", " ", "  "), (4, None, "x", "b")], "source_row int, `Response 1` string, `Right answer 1` string, `Response 2` string")
     found = {r.submission_id: r.reference_code for r in S.submissions_from_wide(sheet, 1, [1, 2], known).collect()}
-    assert found == {"Lab_1_Q1_R3": None, "Lab_1_Q2_R4": None}
+    assert found == {"Lab_1_Q1_R3": " ", "Lab_1_Q2_R4": None}
     with pytest.raises(ValueError, match="Response 3"):
         S.submissions_from_wide(sheet, 1, [3], known)
     with pytest.raises(Exception, match="unmapped label"):
@@ -156,10 +156,44 @@ def test_catalog_and_wide_sheet(spark):
 
 def test_structured_answers():
     compare = validation.compare_answers
-    assert compare('["a + 1", 2]', "('a+1', 2)")[0] == "PASS" and compare('{"k": [1]}', "{'k': (1,)}")[0] == "PASS"
+    assert compare('["a + 1", 2]', "['a+1', 2]")[0] == compare("('a + 1', (2,))", "('a+1', (2,))")[0] == compare('{"k": [1, {"x": "b*c"}]}', "{'k': [1, {'x': 'b * c'}]}")[0] == "PASS"
+    assert {compare(a, b)[0] for a, b in [("(1, 2)", "[1, 2]"), ("[1, 2]", "(1, 2)"), ("{'k': (1,)}", "{'k': [1]}"), ("[(1, 2)]", "[[1, 2]]"), ("(1,)", "1"), ("'a+1'", "'a+2'")]} == {"FAIL"}
     assert compare("[1]", "[2]") == ("FAIL", "Expected [2], got [1]") and compare("f(", "1")[0] == compare(None, "1")[0] == "FAIL"
 
 
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+
+
+def test_blanks_are_those_of_strip(spark):
+    texts = ["", BLANKS, "a" + BLANKS + "b", *(f"{c}a{c}\nb{c}" for c in BLANKS), "\u200ba\u180e", "a\r\nb \r\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", C.stripped("text").alias("s"), C.normal_output("text").alias("n")).collect()
+    lines = lambda t: "\n".join(x.rstrip() for x in t.replace("\r\n", "\n").split("\n")).strip()
+    assert [(r.s, r.n) for r in sorted(rows)] == [(t.strip(), lines(t)) for t in texts]
+
+
+def test_blank_responses_and_lines(spark):
+    known = spark.createDataFrame([("Lab 1 Q1", "T1", "f")], "authentic_task string, task_id string, task_family string")
+    sheet = spark.createDataFrame([(1, "\n\t", None), (2, "\xa0\u2003", "x"), (3, "x = 1\n", ""), (4, None, None), (5, " y", "\t")], "source_row int, `Response 1` string, `Right answer 1` string")
+    assert [(r.source_row, r.source_code, r.reference_code) for r in S.submissions_from_wide(sheet, 1, [1], known).orderBy("source_row").collect()] == [(3, "x = 1\n", None), (5, " y", "\t")]
+    label = '{"submission_id": "a", "task_id": "T1", "defect": "d", "manual_label": "1", "detector_label": "0"}'
+    lines = spark.createDataFrame([("\t", "f", 1), ("\t# note", "f", 2), ("\xa0" + label + "\x85", "f", 3), ("\u3000#", "f", 4)], "value string, file string, line int")
+    assert [r.submission_id for r in S.labels_of_lines(lines).collect()] == ["a"]
+    record = spark.createDataFrame([("\t", "f", 1), ('\xa0{"record_type": "synthetic_generation_experiment"}', "f", 2)], "value string, file string, line int")
+    assert [r.line for r in S.logs_of_lines(record).collect()] == [2]
+
+
+def test_kept_table_follows_its_source(spark, tmp_path):
+    source = f"{tmp_path}/t.parquet"
+    built = lambda: session.keep_once(spark, "kept", source, lambda: spark.read.parquet(source).withColumn("made", F.expr("uuid()")))
+    spark.range(300).write.parquet(source)
+    first = [r.made for r in built().orderBy("id").collect()]
+    assert [r.made for r in built().orderBy("id").collect()] == first and len(first) == 300
+    spark.range(900).write.mode("overwrite").parquet(source)
+    assert built().count() == 900
+    spark.range(900, 1000).write.mode("append").parquet(source)
+    assert built().count() == 1000
+
+
 def test_run_lifecycle(spark):
     at = [dt.datetime(2024, 1, d) for d in range(1, 5)]
     events = lambda *rows: spark.createDataFrame(list(rows), "event_id int, run_id string, at timestamp, status string, error_message string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from defectlake.functions.columns import family_of_group, stripped, task_of_group
@@ -92,13 +93,22 @@ def labels_of_lines(lines: DataFrame) -> DataFrame:
     return good.select("r.submission_id", "r.task_id", F.coalesce("r.task_family", F.lit("")).alias("task_family"), "r.defect", F.coalesce("r.eligibility", F.lit("eligible")).alias("eligibility"), whole("manual_label").alias("manual_label"), whole("detector_label").alias("detector_label"), *[F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in ("reviewer", "evidence_reference", "notes")])
 
 
-def _numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select("value", F.col("_metadata.file_name").alias("file"))
-    return files.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("at", "value")).select("value", "file", (F.col("at") + 1).alias("line"))
+def numbered_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(value, file, line) of text files, which many tasks can read.
+
+    A task reads a block of a file from its start to its end, so a line's place within it is its distance from the first.
+    A first pass counts the lines of each block; those of the blocks before, added up, give the line's number.
+    """
+    meta = lambda name: F.col(f"_metadata.{name}")
+    lines = spark.read.text(path, pathGlobFilter=glob).select("value", meta("file_name").alias("file"), meta("file_path").alias("of"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("of", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(W.partitionBy("of").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    starts = blocks.select("of", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("start"))
+    return lines.join(starts, ["of", "block"]).select("value", "file", (F.col("at") + F.col("start")).cast("int").alias("line"))
 
 
 def read_labels_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    return labels_of_lines(_numbered_lines(spark, path, glob))
+    return labels_of_lines(numbered_lines(spark, path, glob))
 
 
 def logs_of_lines(lines: DataFrame, record_type: str = "synthetic_generation_experiment") -> DataFrame:
@@ -112,7 +122,7 @@ def read_experiment_logs(spark: SparkSession, path: str, glob: str = "experiment
     if not exists(spark, path):
         schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType()), *T.StructType.fromDDL(LOG).fields])
         return spark.createDataFrame([], schema)
-    return logs_of_lines(_numbered_lines(spark, path, glob)).orderBy("file", "line")
+    return logs_of_lines(numbered_lines(spark, path, glob)).orderBy("file", "line")
 
 
 def parse_iteration_payload(rows: DataFrame, column: str = "payload_json") -> DataFrame:

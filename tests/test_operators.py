@@ -182,6 +182,24 @@ def test_blank_responses_and_lines(spark):
     assert [r.line for r in S.logs_of_lines(record).collect()] == [2]
 
 
+@pytest.mark.parametrize("block", [100, 1777, 1 << 27])
+def test_line_numbers_over_blocks(spark, tmp_path, block):
+    files = {"a.jsonl": [f"{i} " + "x" * (i * 37 % 90) for i in range(500)], "b.jsonl": ["", "", "é" * 400, "", "end"], "c.jsonl": []}
+    for name, lines in files.items():
+        (tmp_path / name).write_text(("\r\n" if name < "b" else "\n").join(lines) + "\n" * (name == "b.jsonl"), encoding="utf-8", newline="")
+    (tmp_path / "d.txt").write_text("no")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.minPartitionNum", 1)
+    try:
+        found = S.numbered_lines(spark, str(tmp_path), "*.jsonl")
+        tasks, got = spark.read.text(str(tmp_path)).rdd.getNumPartitions(), sorted((r.file, r.line, r.value) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == [(name, i + 1, x) for name, lines in files.items() for i, x in enumerate(lines)]
+    assert tasks > 100 or block > 100
+
+
 def test_kept_table_follows_its_source(spark, tmp_path):
     source = f"{tmp_path}/t.parquet"
     built = lambda: session.keep_once(spark, "kept", source, lambda: spark.read.parquet(source).withColumn("made", F.expr("uuid()")))

@@ -167,3 +167,15 @@ def drop_defect_from_results(report: DataFrame, tasks: DataFrame, defects: DataF
     left = drop_defect(defects, defect)
     summary = prototype_summary(drop_defect(tasks, defect), left, of_task)
     return {"report": drop_defect(report, defect), "summary": summary, "profile": target_profile(summary, left), "omitted": omitted_defects(summary)}
+
+
+def multiset_difference(before: DataFrame, after: DataFrame, change: str = "change") -> DataFrame:
+    """The rows that two tables of the same columns hold a different number of times, with ``change``: how many more ``after`` has.
+
+    Rows with a positive change are those of ``after EXCEPT ALL before``, negative ones those of the other way round. Nulls equal
+    nulls, nested columns and maps compare by value. Equal rows are summed before the one shuffle, so many of them are no load.
+    """
+    if set(before.columns) != set(after.columns) or change in before.columns:
+        raise ValueError(f"columns must be the same, and none named {change}: {before.columns}, {after.columns}")
+    signed = before.withColumn(change, F.lit(-1).cast("long")).unionByName(after.withColumn(change, F.lit(1).cast("long")))
+    return signed.groupBy(*[F.col(f"`{c}`") for c in before.columns]).agg(F.sum(change).alias(change)).where(F.col(change) != 0)

@@ -333,6 +333,21 @@ def drop_defect(spark, sf_dir):
     return rows("report", "authentic_task").union(rows("summary", "task_id")).union(rows("profile", "task_id")).union(omitted)
 
 
+_CHANGED_SQL = "SELECT l_suppkey, [l_returnflag, l_linestatus] AS flags, l_quantity > 25 AS large FROM lineitem"
+
+
+@query(f"""SELECT l_suppkey, array_to_string(flags, ',') AS flags, large, CAST(sum(n) AS BIGINT) AS change FROM (
+SELECT *, -1 AS n FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 1 FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) GROUP BY ALL""", f"""b AS ({_CHANGED_SQL}),
+a AS (SELECT l_suppkey, CASE WHEN l_partkey % 7 = 0 THEN ['N'] ELSE [l_returnflag, l_linestatus] END AS flags, l_quantity > 25 AS large FROM lineitem WHERE l_partkey % 11 > 0)""")
+def multiset_difference(spark, sf_dir):
+    """Stored results of line items before and after some were judged again and others dropped; only numbers of copies tell them apart."""
+    rows = A.table(spark, sf_dir, "lineitem")
+    results = lambda of, flags: of.select("l_suppkey", flags.alias("flags"), (F.col("l_quantity") > 25).alias("large"))
+    flags = F.array("l_returnflag", "l_linestatus")
+    after = results(rows.where(F.col("l_partkey") % 11 > 0), F.when(F.col("l_partkey") % 7 == 0, F.array(F.lit("N"))).otherwise(flags))
+    return tables.multiset_difference(results(rows, flags), after).withColumn("flags", F.array_join("flags", ","))
+
+
 def _stored_reports(spark: SparkSession, sf_dir: str) -> str:
     path = shared_path(spark, "reports")
     tables.write_task_reports(_report(spark, sf_dir), A.labels_of(spark, sf_dir), path)

@@ -200,6 +200,19 @@ def test_line_numbers_over_blocks(spark, tmp_path, block):
     assert tasks > 100 or block > 100
 
 
+def test_multiset_difference(spark):
+    schema = "a int, m map<string,int>, s struct<x: int, y: array<string>>"
+    one, two, odd = (1, {"k": 1, "l": 2}, (1, ["a", None])), (1, {"l": 2, "k": 1}, (1, ["a", None])), (None, None, None)
+    before = spark.createDataFrame([one, one, two, odd, odd, (2, {}, (0, []))], schema)
+    after = spark.createDataFrame([two, odd, odd, (2, {}, None)] + [(3, None, (None, None))] * 5, schema).select("s", "m", "a")
+    found = sorted((str(r.a), str(r.s), r.change) for r in tables.multiset_difference(before, after).collect())
+    assert found == [("1", "Row(x=1, y=['a', None])", -2), ("2", "None", 1), ("2", "Row(x=0, y=[])", -1), ("3", "Row(x=None, y=None)", 5)]
+    assert tables.multiset_difference(before, before).count() == tables.multiset_difference(before.where("false"), before.where("false")).count() == 0
+    assert tables.multiset_difference(before.where("false"), before).agg(F.sum("change")).first()[0] == 6
+    with pytest.raises(ValueError, match="same"):
+        tables.multiset_difference(before, after.drop("a"))
+
+
 def test_kept_table_follows_its_source(spark, tmp_path):
     source = f"{tmp_path}/t.parquet"
     built = lambda: session.keep_once(spark, "kept", source, lambda: spark.read.parquet(source).withColumn("made", F.expr("uuid()")))

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectlake import catalog
-from defectlake.operators import detection
+from defectlake.operators import stored_findings
 from defectlake.plans.templates import CALLS, REASONS, TEMPLATES
-from defectlake.session import keep_once
+from defectlake.session import exists, files_of, keep_once, shared_folder
 
 QUESTIONS = 46
 #: Templates that parse, from which a source has its second part.
@@ -59,9 +59,17 @@ def text_submissions(spark: SparkSession, sf_dir: str, texts: tuple = tuple(t fo
     return rows.withColumn("source_code", F.concat(F.lit("# submission "), F.col("source_row").cast("string"), F.lit("\n"), pick([F.lit(t) for t in texts], "source_row")))
 
 
+_REFRESHED: dict[tuple[str, str], tuple] = {}
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of ``code_submissions``, read from source once for all queries of an application."""
-    return keep_once(spark, "findings", f"{sf_dir}/orders.parquet", lambda: detection.with_findings(code_submissions(spark, sf_dir)))
+    """The findings of ``code_submissions``, from the store in the shared folder; it is looked through for new sources when a file of the orders has changed."""
+    rows, store, source = code_submissions(spark, sf_dir), f"{shared_folder(spark)}/findings", f"{sf_dir}/orders.parquet"
+    key, now = (store, source), files_of(spark, source)
+    if _REFRESHED.get(key) != now or not exists(spark, stored_findings.folder_of(store)):
+        stored_findings.refresh(rows, store)
+        _REFRESHED[key] = now
+    return stored_findings.with_stored_findings(rows, store)
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from defectlake import catalog
 from defectlake.functions import columns as C
 from defectlake.operators import detection, prevalence, reports, tables
+from defectlake.operators import stored_findings as stored
 from defectlake.plans import adapters as A
 from defectlake.plans.templates import CALLS, TEMPLATES
 from defectlake.session import shared_path
@@ -104,6 +105,24 @@ def parse_status(spark, sf_dir):
     return detection.flags(A.findings(spark, sf_dir)).select("submission_id", "parse_success")
 
 
+@query("""SELECT reading, count(*) AS submissions, count(DISTINCT source_row) FILTER (reading = 1 OR source_row % 3 = 0) AS parsed, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS instances
+FROM (SELECT 1 AS reading, source_row, k FROM s WHERE source_row % 3 > 0 UNION ALL SELECT 2, source_row, k FROM s UNION ALL SELECT 2, source_row, k FROM s WHERE source_row % 3 = 1)
+LEFT JOIN (SELECT k, sum(n) AS n FROM hits WHERE defect IN ('magic_number', 'else_if') GROUP BY k) h USING (k) GROUP BY reading""")
+def stored_findings(spark, sf_dir):
+    """A table of submissions read, grown by new ones and by known sources under other ids, and read again: what each reading holds and parses."""
+    table, store, wanted = shared_path(spark, "submissions"), shared_path(spark, "findings"), ("magic_number", "else_if")
+    rows = A.text_submissions(spark, sf_dir).select("submission_id", "source_row", "source_code")
+    again = rows.where("source_row % 3 = 1").withColumn("submission_id", F.concat(F.lit("again "), "submission_id"))
+    found = []
+    for reading, part in enumerate((rows.where("source_row % 3 > 0"), rows.where("source_row % 3 = 0").unionByName(again)), 1):
+        part.write.mode("append").parquet(table)
+        submissions, parsed = spark.read.schema(rows.schema).parquet(table), Observation()
+        stored.refresh(submissions, store, wanted, observation=parsed)
+        counts = detection.flags(stored.with_stored_findings(submissions, store, wanted)).select(F.aggregate(F.map_values("counts"), F.lit(0), lambda z, n: z + n).alias("n"))
+        found.append(counts.agg(F.lit(reading).alias("reading"), F.count("*").alias("submissions"), F.lit(parsed.get["parsed"]).alias("parsed"), F.coalesce(F.sum("n"), F.lit(0)).alias("instances")))
+    return found[0].unionByName(found[1])
+
+
 @query("SELECT task_id, defect, CAST(sum(instances) AS BIGINT) AS locations FROM obs WHERE present GROUP BY ALL")
 def detection_summary(spark, sf_dir):
     found = prevalence.detection_summary(detection.by_defect(A.findings(spark, sf_dir)))

@@ -13,6 +13,7 @@ from defectlake.plans import adapters as A
 from defectlake.plans.authentic import rounded
 from defectlake.session import shared_path
 from defectlake.sources import submissions as S
+from defectlake.streaming import lifecycle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -350,6 +351,17 @@ def run_lifecycle(spark, sf_dir):
     return tables.run_lifecycle(_events(spark, sf_dir))
 
 
+@query("SELECT * FROM lc", _EVENTS_SQL)
+def stream_lifecycle(spark, sf_dir):
+    """The events as files in an order that isn't theirs, read as a stream, a few files a batch."""
+    files, path = shared_path(spark, "event_files"), shared_path(spark, "runs")
+    events = _events(spark, sf_dir)
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(files)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(files)
+    lifecycle.start_lifecycle(stream, path, shared_path(spark, "stream")).awaitTermination()
+    return lifecycle.current_lifecycle(spark, path)
+
+
 @query("SELECT run_id, status FROM lc ORDER BY last_used_at DESC, run_id LIMIT 20", _EVENTS_SQL)
 def list_runs(spark, sf_dir):
     return tables.list_runs(tables.run_lifecycle(_events(spark, sf_dir)), 20).select("run_id", "status")

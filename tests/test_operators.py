@@ -4,11 +4,12 @@ import datetime as dt
 import hashlib
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from defectlake import catalog, session
 from defectlake.functions import columns as C
-from defectlake.operators import batches, detection, experiments, labels, prevalence, reports, tables, validation
+from defectlake.operators import batches, detection, experiments, labels, prevalence, reports, stored_findings, tables, validation
 from defectlake.sources import submissions as S
 
 
@@ -273,3 +274,43 @@ def test_an_upsert_rewrites_only_what_it_touches(spark, tmp_path):
     assert found == {("a", "T1", 1): "old", ("a", "T1", 2): "new", ("b", "T1", 1): "old", ("c", "T2", 1): "new"}
     after = {f: f.stat().st_mtime_ns for f in (tmp_path / "iterations").rglob("*.parquet")}
     assert [f for f in before if after.get(f) == before[f]] == [f for f in before if "run_id=b" in str(f)]
+
+
+def _sources(spark, rows):
+    return spark.createDataFrame(rows, "submission_id string, f int, source_code string")
+
+
+def test_stored_findings_parse_each_source_once(spark, tmp_path):
+    store, wanted = f"{tmp_path}/store", ("one_letter_name", "empty_if")
+    first = [("a", 1, "x = 1\n"), ("b", 2, "x = 1\n"), ("c", None, None), ("d", 4, "if ("), ("e", 5, "")]
+    grown = [*first, ("g", 6, "if total:\n    pass\n"), ("h", 7, "x = 1\n")]
+
+    def read(rows, wanted=wanted):
+        parsed = Observation()
+        stored_findings.refresh(_sources(spark, rows), store, wanted, observation=parsed)
+        found = stored_findings.with_stored_findings(_sources(spark, rows).drop("f"), store, wanted)
+        return parsed.get["parsed"], sorted((r.submission_id, r.f.error, sorted(r.f.found)) for r in found.collect())
+
+    def plain(rows, wanted=wanted):
+        return sorted((r.submission_id, r.f.error, sorted(r.f.found)) for r in detection.with_findings(_sources(spark, rows).drop("f"), wanted).collect())
+
+    assert read(first) == (4, plain(first))
+    assert read(grown) == (1, plain(grown))
+    assert read(grown) == (0, plain(grown))
+    assert read(grown, wanted[:1]) == (5, plain(grown, wanted[:1]))  # other rules are another version
+
+
+def test_stored_findings_after_a_half_done_refresh(spark, tmp_path):
+    store, wanted, rows = f"{tmp_path}/store", ("one_letter_name",), [(str(i), i, f"x = {i}\n") for i in range(20)]
+    stored_findings.refresh(_sources(spark, rows[:7]), store, wanted)
+    stored = spark.read.parquet(stored_findings.folder_of(store, wanted))
+    stored.limit(3).write.mode("append").parquet(stored_findings.folder_of(store, wanted))  # as a second writer at the same time would
+    stored_findings.refresh(_sources(spark, rows), store, wanted)
+    found = stored_findings.with_stored_findings(_sources(spark, rows).drop("f"), store, wanted)
+    assert sorted(int(r.submission_id) for r in found.collect()) == list(range(20))
+
+
+def test_stored_findings_of_no_rows(spark, tmp_path):
+    none = _sources(spark, [])
+    stored_findings.refresh(none, f"{tmp_path}/store", ("one_letter_name",))
+    assert stored_findings.with_stored_findings(none.drop("f"), f"{tmp_path}/store", ("one_letter_name",)).count() == 0

@@ -131,3 +131,20 @@ def compose_profile(independent: DataFrame, dependent: DataFrame, applicable: Da
     base = mine.select("task_id").distinct().crossJoin(independent.select("defect", "value")).withColumn("rank", F.lit(1))
     own = dependent.join(mine, ["task_id", "defect"], "left_semi").select("task_id", "defect", "value").withColumn("rank", F.lit(0))
     return base.union(own).groupBy("task_id", "defect").agg(F.min_by("value", "rank").alias("value"))
+
+
+def prevalence_cube(valid: DataFrame, by: tuple[str, ...], defects: DataFrame, task: str = "authentic_task") -> DataFrame:
+    """Per grouping set of ``by`` and defect: level (``grouping_id``), tasks, observations, affected_submissions, prevalence.
+
+    ``valid`` has submissions with their ``counts`` by defect as a map, ``defects`` the names (fixed, few). Submissions
+    are summed per task before any level is made: one row a submission for the denominators and one for
+    each defect found in it, so the cube runs over tasks and defects alone. A task counts once in a level.
+    """
+    finest = [*dict.fromkeys((task, *by))]
+    totals = valid.groupBy(*finest).agg(F.count("*").alias("observations"))
+    found = valid.select(*finest, F.explode("counts").alias("defect", "n")).where("n > 0").groupBy(*finest, "defect").agg(F.count("*").alias("affected"))
+    each = totals.crossJoin(F.broadcast(defects.select("defect")))
+    same = [each[c].eqNullSafe(found[c]) for c in (*finest, "defect")]
+    rows = each.join(found, same, "left").select(*[each[c] for c in finest], each["defect"], "observations", F.coalesce("affected", F.lit(0)).alias("affected"))
+    cube = rows.cube(*by, "defect").agg(F.grouping_id().alias("level"), F.count_distinct(task).alias("tasks"), F.sum("observations").alias("observations"), F.sum("affected").alias("affected_submissions"))
+    return cube.withColumn("prevalence", ratio("affected_submissions", "observations"))

@@ -171,6 +171,12 @@ def valid_for_prevalence(spark, sf_dir):
     return _wide(spark, sf_dir).groupBy("task_id").agg(F.count_if("valid").alias("valid"), F.count("*").alias("submissions"))
 
 
+@query("""SELECT task_family, role, defect, grouping_id(task_family, role, defect) AS level, count(DISTINCT authentic_task) AS tasks, count(*) AS observations,
+count(*) FILTER (present) AS affected_submissions, round(CAST(count(*) FILTER (present) AS DOUBLE) / count(*), 9) AS prevalence FROM obs WHERE valid GROUP BY CUBE (task_family, role, defect)""")
+def prevalence_cube(spark, sf_dir):
+    return rounded(prevalence.prevalence_cube(_wide(spark, sf_dir).where("valid"), ("task_family", "role"), catalog.defects(spark)), "prevalence")
+
+
 @query("SELECT submission_id, defect, present, eligibility, opportunity_level FROM obs")
 def analyze_submissions(spark, sf_dir):
     found = detection.by_defect(A.findings(spark, sf_dir))

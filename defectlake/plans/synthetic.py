@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from defectlake.functions import columns as C
 from defectlake.operators import batches as B
 from defectlake.operators import experiments as E
-from defectlake.operators import reports, tables
+from defectlake.operators import reports, tables, timelines
 from defectlake.plans import adapters as A
 from defectlake.plans.authentic import rounded
 from defectlake.session import shared_path
@@ -362,6 +362,18 @@ def stream_lifecycle(spark, sf_dir):
     return lifecycle.current_lifecycle(spark, path)
 
 
+@query("""SELECT p.iteration_id, p.run_id, e.status, coalesce(e.event_id, -1) AS event_id
+FROM (SELECT o_orderkey AS iteration_id, CAST(o_custkey % 160 AS VARCHAR) AS run_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey % 43200) AS at FROM orders) p
+ASOF LEFT JOIN (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY run_id, ts ORDER BY event_id DESC) = 1) e ON p.run_id = e.run_id AND p.at >= e.ts""", _EVENTS_SQL)
+def state_when_written(spark, sf_dir):
+    """The state that a run was in when each of its iterations was written; orders stand for iterations."""
+    events = _events(spark, sf_dir)
+    at = F.lit("2024-01-01 00:00:00").cast(events.schema["at"].dataType) + F.make_dt_interval(mins=(F.col("o_orderkey") % 43200).cast("int"))
+    written = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("iteration_id"), (F.col("o_custkey") % 160).cast("string").alias("run_id"), at.alias("at"))
+    found = timelines.as_of(written, events, "run_id", "at", ("status", "event_id"), "event_id")
+    return found.select("iteration_id", "run_id", "last.status", F.coalesce("last.event_id", F.lit(-1)).alias("event_id"))
+
+
 @query("SELECT run_id, status FROM lc ORDER BY last_used_at DESC, run_id LIMIT 20", _EVENTS_SQL)
 def list_runs(spark, sf_dir):
     return tables.list_runs(tables.run_lifecycle(_events(spark, sf_dir)), 20).select("run_id", "status")

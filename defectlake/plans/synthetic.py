@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from defectlake.functions import columns as C
 from defectlake.operators import batches as B
 from defectlake.operators import experiments as E
-from defectlake.operators import reports, tables, timelines
+from defectlake.operators import ledger, reports, tables, timelines
 from defectlake.plans import adapters as A
 from defectlake.plans.authentic import rounded
 from defectlake.session import shared_path
@@ -315,6 +315,17 @@ def upsert_iterations(spark, sf_dir):
     return spark.read.schema(writes.schema).parquet(path).select("run_id", "task_id", "iteration_number", "payload")
 
 
+@query("SELECT run_id, 'T1' AS task_id, iteration_number, coalesce(max(submission_id) FILTER (late), max(submission_id)) AS payload FROM w GROUP BY ALL", _STORE_SQL)
+def save_batches(spark, sf_dir):
+    """Iterations saved as two batches, the table compacted between, and both saved again, which changes nothing."""
+    writes, _, _ = _stored(spark, sf_dir)
+    path = shared_path(spark, "saved")
+    for part in ("not late", "late", "not late", "late"):
+        ledger.save_batch(writes.where(part), path, part)
+        ledger.compact(writes.limit(0), path)
+    return ledger.saved_iterations(writes.limit(0), path).select("run_id", "task_id", "iteration_number", "payload")
+
+
 _CHILDREN = "k AS (SELECT run_id, iteration_number, submission_id FROM w x WHERE late AND iteration_number <= 4 UNION ALL SELECT run_id, iteration_number, submission_id FROM w x WHERE NOT late AND NOT EXISTS (SELECT 1 FROM w y WHERE y.late AND y.iteration_number <= 4 AND y.run_id = x.run_id AND y.iteration_number = x.iteration_number))"
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -34,8 +35,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _KEPT: dict[tuple[str, str, str], tuple[tuple, str]] = {}
 
 
-def files_of(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+def files_of(spark: SparkSession, path: str, missing_ok: bool = False) -> tuple[tuple[str, int, int], ...]:
     """Name, length and time of change of each file under a path, in order; the driver lists names only."""
+    if missing_ok and not exists(spark, path):
+        return ()
     listed, found = _file_system(spark, path).listFiles(_at(spark, path), True), []
     while listed.hasNext():
         file = listed.next()
@@ -76,3 +79,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     """Delete what lies at a path of a file system that Spark knows."""
     _file_system(spark, path).delete(_at(spark, path), True)
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file; false if there is one."""
+    if exists(spark, path):
+        return False
+    try:
+        out = _file_system(spark, path).create(_at(spark, path), False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True

@@ -76,8 +76,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row for each row; a text without characters, or null, has no ids.
     """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return bpe.digest(decoded, "ids")
+    return bpe.digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN), "ids")
 
 
 STAGES = [

@@ -7,6 +7,9 @@ reads bytes and keeps those last tokens only for the bytes that a later token co
 reach. Once all such places agree on a boundary, the tokens before it are emitted; what is
 pending is never longer than the longest run of vocabulary prefixes. A state is the last
 emitted token and the pending bytes; states and moves are made when first needed and kept.
+
+Whether two tokens may follow each other is found by undoing their merges, latest first, until
+one across the boundary would have come earlier, or none is left.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from defectlake.llm import text as tx
 
 #: States, pairs and pieces that a Python worker keeps at most.
 MAX_STATES = 20_000
-MAX_PAIRS = 250_000
+MAX_PAIRS = 100_000
 MAX_PIECES = 250_000
 #: Longer pieces are not kept.
 LONG_PIECE = 64
@@ -56,16 +59,34 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         #: Tokens that merging their own bytes gives; no other can stand in an encoding.
-        tokens = {token: rank for token, rank in ranks.items() if self._merged(token) == [rank]}
-        self.open = {token[:i] for token in tokens for i in range(1, len(token))}
-        #: A trie by its paths: the token that ends at a node, or -1.
-        self.nodes = dict.fromkeys(self.open, -1) | tokens
+        tokens, halves = {}, {}
+        for token, rank in ranks.items():
+            last: list[bytes] = []
+            if self._merged(token, last) == [rank]:
+                tokens[token] = rank
+                if last:
+                    halves[rank] = tuple(ranks[x] for x in last)
+        #: The last merge of each such token, and what it gives; unless merges always come in the order of ranks, none are used.
+        self.halves, self.joint = halves, {a << 32 | b: rank for rank, (a, b) in halves.items()}
+        self.ordered = all(rank > max(pair) for rank, pair in halves.items())
+        #: A trie of them: node and byte to the next node; of each node the token that ends there, or -1, and whether it goes on.
+        self.trie: dict[int, int] = {}
+        self.token_at, self.open = array("i", (-1,)), bytearray(1)
+        for token, rank in tokens.items():
+            node = 0
+            for byte in token:
+                self.open[node] = 1
+                node = self.trie.setdefault(node << 8 | byte, len(self.open))
+                if node == len(self.open):
+                    self.token_at.append(-1)
+                    self.open.append(0)
+            self.token_at[node] = rank
         self.states: dict[tuple[int, bytes], _State] = {}
         self.pairs: dict[int, bool] = {}
         self.start = _State(-1, b"", [])
 
-    def _merged(self, raw: bytes) -> list[int]:
-        """Plain merging by rank, for the short strings of one or two tokens."""
+    def _merged(self, raw: bytes, last: list[bytes] | None = None) -> list[int]:
+        """Plain merging by rank, for the short strings of one or two tokens; ``last`` gets the two parts of the last merge."""
         get, none = self.ranks.get, 1 << 60
         parts = [raw[i : i + 1] for i in range(len(raw))]
         joint = [get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
@@ -74,6 +95,8 @@ class Transducer:
             if least == none:
                 break
             at = joint.index(least)
+            if last is not None:
+                last[:] = parts[at : at + 2]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del joint[at]
             if at < len(joint):
@@ -85,31 +108,60 @@ class Transducer:
     def _may_follow(self, a: int, b: int) -> bool:
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
-        ok = self.pairs[a << 32 | b] = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        ok = self.pairs[a << 32 | b] = self._stay_apart(a, b) if self.ordered else self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return ok
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """Whether no merge across the boundary comes before those that make ``a`` and ``b``.
+
+        Of equal merges the left one comes first, so one across the boundary precedes an equal one in ``b`` and follows one in ``a``.
+        """
+        joint, halves, limit = self.joint.get, self.halves.get, 1 << 60
+        while True:
+            across = joint(a << 32 | b)
+            if across is not None and across < limit:
+                return False
+            left, right = halves(a), halves(b)
+            if left is None and right is None:
+                return True
+            if right is None or (left is not None and a > b):
+                limit, a = a, left[1]
+            else:
+                limit, b = b + 1, right[0]
+
+    def _node(self, raw: bytes) -> int:
+        """The node of some bytes that aren't empty; 0 if no token begins with them."""
+        node = 0
+        for byte in raw:
+            node = self.trie.get(node << 8 | byte)
+            if node is None:
+                return 0
+        return node
+
     def _extend(self, last: int, pending: bytes, tails: list[int]) -> None:
         """Adds the missing last tokens: one for each prefix of ``pending``.
 
-        ``live`` has the places where a token that reaches this far may begin, first ones first.
+        ``live`` has the places where a token that goes on may begin, first ones first, each with its node.
         """
-        node_of, pair, n = self.nodes.get, self.pairs.get, len(tails)
-        live = [lo for lo in range(max(0, n - self.longest), n) if pending[lo:n] in self.nodes]
-        for end in range(n + 1, len(pending) + 1):
-            live.append(end - 1)
+        step, token_at, goes_on, pair, n = self.trie.get, self.token_at, self.open, self.pairs.get, len(tails)
+        live = [(lo, node) for lo in range(max(0, n - self.longest), n) if (node := self._node(pending[lo:n])) and goes_on[node]]
+        for end in range(n, len(pending)):
+            byte = pending[end]
+            live.append((end, 0))
             reach, token = [], -1
-            for lo in live:
-                node = node_of(pending[lo:end])
+            for lo, node in live:
+                node = step(node << 8 | byte)
                 if node is None:
                     continue
-                reach.append(lo)
-                if token < 0 <= node:
+                if goes_on[node]:
+                    reach.append((lo, node))
+                if token < 0 <= (here := token_at[node]):
                     before = tails[lo - 1] if lo else last
                     if before >= 0:
-                        ok = pair(before << 32 | node)
-                        if not (self._may_follow(before, node) if ok is None else ok):
+                        ok = pair(before << 32 | here)
+                        if not (self._may_follow(before, here) if ok is None else ok):
                             continue
-                    token = node
+                    token = here
             if token < 0:
                 raise ValueError("the vocabulary lacks a byte")
             tails.append(token)
@@ -130,7 +182,7 @@ class Transducer:
         chain = self._bounds(tails, n)
         agreed = set(chain)
         for i in range(max(0, n - self.longest), n):
-            if pending[i:] in self.open:
+            if (node := self._node(pending[i:])) and self.open[node]:
                 agreed &= set(self._bounds(tails, i))
         cut = max(agreed)
         emitted = tuple(tails[b - 1] for b in reversed(chain) if 0 < b <= cut)
@@ -257,6 +309,16 @@ def _worker(kind: type, path: str, *more: str):
     return _workers[key]
 
 
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    ids = [encoder.encode(t or "") for t in texts.to_pylist()]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def _decoded(decoder: Decoder, ids: pa.Array) -> pa.Array:
+    return pa.array([decoder.decode(np.zeros(0, np.int64) if x is None or not x.is_valid else x.values.to_numpy(zero_copy_only=False)) for x in ids], pa.string())
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>) per row of ``docs``, as merging by the ranks in ``path`` gives.
 
@@ -268,13 +330,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         encoder = _worker(Encoder, path, pattern)
         for batch in batches:
-            lo = 0
-            for lo_, hi, _ in tx.chunks(tx.column_texts(batch.column(1))):
-                lo = lo_
-                ids = [encoder.encode(t or "") for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), rows], ["doc_id", "ids"])
+            for lo, hi, _ in tx.chunks(tx.column_texts(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _encoded(encoder, batch.column(1).slice(lo, hi - lo))], ["doc_id", "ids"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -289,13 +346,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             column = batch.column(1)
             for lo in range(0, len(column), 512):
                 part = column.slice(lo, 512)
-                texts = [decoder.decode(np.zeros(0, np.int64) if x is None or not x.is_valid else x.values.to_numpy(zero_copy_only=False)) for x in part]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), part, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), part, _decoded(decoder, part)], ["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, text) per row of ``docs``: what ``decode`` makes of what ``encode`` gives, by one Python worker."""
+
+    def run(batches):
+        encoder, decoder = _worker(Encoder, path, pattern), _worker(Decoder, path)
+        for batch in batches:
+            for lo, hi, _ in tx.chunks(tx.column_texts(batch.column(1))):
+                rows = _encoded(encoder, batch.column(1).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), rows, _decoded(decoder, rows)], ["doc_id", "ids", "text"])
+
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
 def digest(decoded: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids joined by commas and of the decoded text; then ``more`` columns."""
     return decoded.select(

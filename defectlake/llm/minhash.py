@@ -307,14 +307,14 @@ def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame
 def _apart(members: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the band values in which not all sets have one root yet: key, band, n, n_other, main, node, root.
 
-    ``pivots`` are those of the members' band values, each with its size.
+    ``pivots`` are those of the members' band values, each with its size; they aren't among the members.
     """
     root_of = roots.select(F.col("node").alias("of_node"), "root")
     placed = members.join(root_of, F.col("node") == F.col("of_node"), "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     main = pivots.join(root_of, F.col("b") == F.col("of_node"), "left").select("key", "size", F.coalesce("root", "b").alias("main"))
     heavy = heavy_keys(main.select("key", F.col("size").alias("n")), "key", members.count())
     placed = spread_join(placed, main, "key", heavy, "node")
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("n_other")).where("n_other > 0")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("n_other"), (F.min("root") != F.max("root")).alias("apart")).where("apart").drop("apart")
     return spread_join(placed, mixed, "key", heavy, "node")
 
 
@@ -332,8 +332,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
 
     Sets link when 100 * intersection >= percent * union. Rows of equal sets are one class, so
     copies are never paired. Of each band value the members are first compared with one of
-    them, drawn anew for each value; the sets that are then still apart are compared with each
-    other. Band values, sets and roots with very many rows are split over tasks.
+    them, drawn anew for each value, which settles all its pairs; the other sets that are then
+    still apart are compared with each other. Band values, sets and roots with very many rows are split over tasks.
 
     Defined cases: a null, empty or blank text has n_shingles 0 and is linked with nothing; a
     text of fewer than ``k`` words has its whole sequence as one shingle; repeated rows are
@@ -358,7 +358,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     forget(star)
     links = keep(_verified(likely, full, percent), "links")
     forget(likely)
-    tentative, some = True, members
+    unsettled = members.where("size > 2 and draw <> low")  # what a pivot was compared with is settled
+    tentative, some = True, unsettled
     while True:
         roots = keep(components(links, "near"), "roots")
         pairs = keep(_cross_pairs(_with_sets(_apart(some, pivots, roots), sets, full), percent, tentative), "pairs")
@@ -369,7 +370,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         if met == found or not tentative:
             break
         failed = pairs.where(~F.col("sure")).join(more, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_anti").select("key").distinct()
-        some, pivots = keep(members.join(failed, "key", "left_semi"), "again"), pivots.join(failed, "key", "left_semi")
+        some, pivots = keep(unsettled.join(failed, "key", "left_semi"), "again"), pivots.join(failed, "key", "left_semi")
         tentative = 2 * found >= met  # else one last time, with all pairs that may link
     if found:
         roots = components(links, "all")

@@ -39,7 +39,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path))
+    return bpe.digest(bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Joins with one row for each key, where a few keys may hold most rows of the other side.
 
 Keys that hold more than a set share of the rows are heavy. There are at most as many as the
-share allows, so they are sent to all tasks, and the rows of each are dealt over several.
+share allows, so they are sent to all tasks, and the rows of each are dealt over several, or
+stay where they are and the few rows that they meet are sent to them.
 """
 
 from __future__ import annotations
@@ -37,3 +38,14 @@ def spread_join(rows: DataFrame, one: DataFrame, on: str, heavy: DataFrame | Non
     left = rows.join(heavy, on, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("splits")), F.lit(0))).drop("splits")
     right = one.join(heavy, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("splits", F.lit(1)).cast("long") - 1))).drop("splits")
     return left.join(right, [on, "salt"]).drop("salt")
+
+
+def told_join(rows: DataFrame, one: DataFrame, on: str, heavy: DataFrame | None) -> DataFrame:
+    """``rows`` joined with the one row of its key in ``one``, whose rows are short: those of heavy keys are sent to all tasks.
+
+    ``rows`` is read twice if there are heavy keys.
+    """
+    if heavy is None:
+        return rows.join(one, on)
+    is_heavy = F.col(on).isin([row[0] for row in heavy.select(on).collect()])
+    return rows.where(~is_heavy).join(one, on).unionByName(rows.where(is_heavy).join(F.broadcast(one.where(is_heavy)), on))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from defectlake.llm import text as tx
 from defectlake.llm.components import REP_BYTES, components, node_of, rep_of
-from defectlake.llm.heavy import heavy_keys, sizes, spread_join
+from defectlake.llm.heavy import heavy_keys, sizes, spread_join, told_join
 from defectlake.llm.scratch import forget, keep
 
 SHINGLE_WORDS = 5
@@ -222,15 +222,28 @@ class _Group:
             js = js[((lanes[js] == lanes[i]) & (lanes[i] != 0)).argmax(1) == self.c["band"][0]]
         return js[may_pass(regs[i], regs[js], n[i], n[js], self.percent)] if len(js) else js
 
-    def pairs(self) -> tuple[list, list, list, list]:
-        """Ends of the pairs, the group's key, and whether each is sure."""
-        a_out, b_out, sure_out = [], [], []
+    def _meetings(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of the first block with those that it must be compared with."""
         own, ti, tj = self.c["own"], self.c["ti"][0], self.c["tj"][0]
         left = np.flatnonzero(own == ti)
         right = left if ti == tj else np.flatnonzero(own == tj)
-        fine, n = self.c["fine"], self.c["n"]
         for i in left:
-            for j in self._meeting(i, right[right > i] if ti == tj else right):
+            yield i, self._meeting(i, right[right > i] if ti == tj else right)
+
+    def meets(self) -> np.ndarray:
+        """Which members must be compared with another one."""
+        out = np.zeros(len(self.root), bool)
+        for i, js in self._meetings():
+            if len(js):
+                out[i] = out[js] = True
+        return out
+
+    def pairs(self) -> tuple[list, list, list, list]:
+        """Ends of the pairs, the group's key, and whether each is sure."""
+        a_out, b_out, sure_out = [], [], []
+        fine, n = self.c["fine"], self.c["n"]
+        for i, js in self._meetings():
+            for j in js:
                 if self.root[i] == self.root[j]:
                     continue
                 links, sure = close(fine[i], fine[j], n[i], n[j], self.percent)
@@ -259,6 +272,58 @@ def _tiles(members: DataFrame) -> DataFrame:
     return tiled.withColumns({"ti": F.least("own", "other"), "tj": F.greatest("own", "other")})
 
 
+ORDER = ["key", "ti", "tj"]
+DEALT = [*ORDER, "band", "own", "node", "root", "sketch", "n_shingles"]
+
+
+def _columns(batch: pa.RecordBatch) -> dict:
+    """The columns of DEALT."""
+    now = {name: batch.column(i).to_numpy() for i, name in enumerate(("key", "ti", "tj", "band", "own"))}
+    now["node"] = np.array(batch.column(5).to_pylist(), object)
+    now["root"] = np.array(batch.column(6).to_pylist(), object)
+    now["sketch"] = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+    now["n"] = batch.column(8).to_numpy()
+    return now
+
+
+def _groups(batches, percent: int, tentative: bool, more) -> Iterator[list[_Group]]:
+    """The groups of sorted rows that begin with the columns of DEALT, as they end; ``more`` gives the other columns of a batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = _columns(batch) | more(batch)
+        if held is not None:
+            now = {k: np.concatenate([held[k], now[k]]) for k in now}
+        new = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["ti"]) != 0) | (np.diff(now["tj"]) != 0)) + 1
+        cuts = np.concatenate([[0], new])
+        yield [_Group({k: v[s:e] for k, v in now.items()}, percent, tentative) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        held = {k: v[cuts[-1] :] for k, v in now.items()}
+    if held is not None:
+        yield [_Group(held, percent, tentative)]
+
+
+def _with_partners(members: DataFrame, percent: int) -> DataFrame:
+    """Members (key, band, n, n_other, main, node, root, sketch, n_shingles) that the registers let be compared with another of their band value, without sketch.
+
+    This is what ``_cross_pairs`` would compare; the others need not move with their hashes.
+    """
+    kinds = {"key": pa.int64(), "band": pa.int32(), "members": pa.int64(), "n_other": pa.int64(), "main": pa.binary(), "node": pa.binary(), "root": pa.binary(), "n": pa.int64()}
+
+    def sizes_of(batch: pa.RecordBatch) -> dict:
+        return {"members": batch.column(9).to_numpy(), "n_other": batch.column(10).to_numpy(), "main": np.array(batch.column(11).to_pylist(), object)}
+
+    def run(batches):
+        for groups in _groups(batches, percent, True, sizes_of):
+            met = [(group, at) for group in groups if (at := group.meets()).any()]
+            if met:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([group.c[x][at] for group, at in met]), kind) for x, kind in kinds.items()], list(kinds))
+
+    tiled = _tiles(members).select(*DEALT, "n", "n_other", "main")
+    met = tiled.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, "key long, band int, members long, n_other long, main binary, node binary, root binary, n long")
+    return met.withColumnsRenamed({"n": "n_shingles", "members": "n"}).dropDuplicates(["key", "node"])
+
+
 def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame:
     """Pairs (a, b, key, sure) within band values that have a link left to find; they go to verification.
 
@@ -270,61 +335,56 @@ def _cross_pairs(members: DataFrame, percent: int, tentative: bool) -> DataFrame
     other groups give all such pairs. A pair that agrees in several bands is compared in the first of them only.
     """
 
+    def fine_of(batch: pa.RecordBatch) -> dict:
+        fine = np.empty(batch.num_rows, object)
+        for i, x in enumerate(batch.column(9)):
+            fine[i] = np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint32))
+        return {"fine": fine}
+
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {name: batch.column(i).to_numpy() for i, name in enumerate(("key", "band", "ti", "tj", "own"))}
-            now["node"] = np.array(batch.column(5).to_pylist(), object)
-            now["root"] = np.array(batch.column(6).to_pylist(), object)
-            now["sketch"] = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-            now["n"] = batch.column(8).to_numpy()
-            now["fine"] = np.empty(batch.num_rows, object)
-            for i, x in enumerate(batch.column(9)):
-                now["fine"][i] = np.unique(x.values.to_numpy(zero_copy_only=False).view(np.uint32))
-            if held is not None:
-                now = {k: np.concatenate([held[k], now[k]]) for k in now}
-            new = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["ti"]) != 0) | (np.diff(now["tj"]) != 0)) + 1
-            cuts = np.concatenate([[0], new])
+        for groups in _groups(batches, percent, tentative, fine_of):
             found: tuple[list, ...] = ([], [], [], [])
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                for every, own in zip(found, _Group({k: v[s:e] for k, v in now.items()}, percent, tentative).pairs(), strict=True):
+            for group in groups:
+                for every, own in zip(found, group.pairs(), strict=True):
                     every += own
-            held = {k: v[cuts[-1] :] for k, v in now.items()}
-            yield out(found)
-        if held is not None:
-            yield out(_Group(held, percent, tentative).pairs())
-
-    def out(found: tuple[list, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.binary(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "key", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.binary(), pa.binary(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "key", "sure"])
 
-    order = ["key", "ti", "tj"]
-    tiled = _tiles(members).select("key", "band", "ti", "tj", "own", "node", "root", "sketch", "n_shingles", "fine")
-    return tiled.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a binary, b binary, key long, sure boolean")
+    tiled = _tiles(members).select(*DEALT, "fine")
+    return tiled.repartition(*ORDER).sortWithinPartitions(*ORDER).mapInArrow(run, "a binary, b binary, key long, sure boolean")
 
 
-def _apart(members: DataFrame, pivots: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of the band values in which not all sets have one root yet: key, band, n, n_other, main, node, root.
 
-    ``pivots`` are those of the members' band values, each with its size; they aren't among the members.
+    ``members`` tell whether they are the pivot of their band value; a pivot gives its root to ``main`` and isn't among the results.
     """
     root_of = roots.select(F.col("node").alias("of_node"), "root")
-    placed = members.join(root_of, F.col("node") == F.col("of_node"), "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    main = pivots.join(root_of, F.col("b") == F.col("of_node"), "left").select("key", "size", F.coalesce("root", "b").alias("main"))
-    heavy = heavy_keys(main.select("key", F.col("size").alias("n")), "key", members.count())
-    placed = spread_join(placed, main, "key", heavy, "node")
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("n_other"), (F.min("root") != F.max("root")).alias("apart")).where("apart").drop("apart")
-    return spread_join(placed, mixed, "key", heavy, "node")
+    placed = members.join(root_of, F.col("node") == F.col("of_node"), "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"), "pivot")
+    placed = keep(placed, "placed")
+    per_root = placed.groupBy("key", "root").agg(F.count_if(~F.col("pivot")).alias("here"), F.max("pivot").alias("main"))
+    mixed = per_root.groupBy("key").agg(
+        F.sum("here").alias("n"), F.sum(F.when(F.col("main"), 0).otherwise(F.col("here"))).alias("n_other"), F.max(F.when(F.col("main"), F.col("root"))).alias("main"), F.count_if(F.col("here") > 0).alias("roots")
+    )
+    mixed = keep(mixed.where("roots > 1").drop("roots"), "mixed")
+    rest = keep(told_join(placed.where(~F.col("pivot")).drop("pivot"), mixed, "key", heavy_keys(mixed, "key", placed.count())), "rest")
+    for table in (placed, mixed):
+        forget(table)
+    return rest
+
+
+def _few(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``table`` of a few ``nodes``, which are sent to all tasks."""
+    return table.join(F.broadcast(nodes.distinct()), "node", "left_semi")
 
 
-def _with_sets(rest: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
-    """Members with their registers and smallest hashes. Where they are few, tables of sets are cut to theirs before they move."""
-    rest = keep(rest, "rest")
-    if rest.count() <= FEW:
-        few = F.broadcast(rest.select("node").distinct())
-        sets, full = sets.join(few, "node", "left_semi"), full.join(few, "node", "left_semi")
-    return rest.join(sets.select("node", "sketch", "n_shingles"), "node").join(full.select("node", _upper_halves(F.slice("hashes", 1, FINE)).alias("fine")), "node")
+def _comparable(rest: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Members that have a partner by their registers, with registers and smallest hashes. Where they are few, tables of sets are cut to theirs before they move."""
+    known = sets.select("node", "sketch", "n_shingles")
+    met = keep(_with_partners(rest.join(_few(known, rest.select("node")) if rest.count() <= FEW else known, "node"), percent), "met")
+    known = known.drop("n_shingles")
+    if met.count() <= FEW:
+        known, full = _few(known, met.select("node")), _few(full, met.select("node"))
+    return met.join(known, "node").join(full.select("node", _upper_halves(F.slice("hashes", 1, FINE)).alias("fine")), "node")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -344,13 +404,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     rows = keep(sketches(docs, k), "sketches")
     sets = rows.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     sets = keep(sets.select(node_of("rep", "print").alias("node"), "print", "rep", "n_shingles", "sketch"), "sets")
-    bands = sets.select("node", F.posexplode("sketch").alias("band", "value")).where("value <> 0").select("node", "band", F.xxhash64("band", "value").alias("key"))
-    bands = bands.withColumn("draw", F.xxhash64("key", "node"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("draw").alias("low")).where("size > 1")
+    bands = sets.select("node", F.col("n_shingles").alias("na"), F.posexplode("sketch").alias("band", "value")).where("value <> 0").select("node", "na", "band", F.xxhash64("band", "value").alias("key"))
+    draw = F.xxhash64("key", "node")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(draw).alias("low")).where("size > 1")
     heavy = heavy_keys(shared.select("key", F.col("size").alias("n")), "key", BANDS * sets.count())
-    members = keep(spread_join(bands, shared, "key", heavy, "node"), "members")
-    pivots = members.where("draw = low").select("key", F.col("node").alias("b"), "size")
-    star = spread_join(members.select("key", F.col("node").alias("a")), pivots, "key", heavy, "a").where("a <> b")
+    members = keep(told_join(bands, shared, "key", heavy).select("key", "node", "na", "band", "size", (draw == F.col("low")).alias("pivot")), "members")
+    pivots = members.where("pivot").select("key", F.col("node").alias("b"), F.col("na").alias("nb"))
+    star = told_join(members.where(~F.col("pivot")).select("key", F.col("node").alias("a"), "na"), pivots, "key", heavy)
+    star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))  # no intersection is larger than the smaller set
     star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
     wanted = members.select("node").distinct().join(sets.select("node", "rep"), "node")
     full = keep(_full_sets(docs, wanted, k), "full")
@@ -358,19 +419,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     forget(star)
     links = keep(_verified(likely, full, percent), "links")
     forget(likely)
-    unsettled = members.where("size > 2 and draw <> low")  # what a pivot was compared with is settled
+    unsettled = members.where("size > 2").select("key", "band", "node", "pivot")  # what a pivot was compared with is settled
     tentative, some = True, unsettled
     while True:
         roots = keep(components(links, "near"), "roots")
-        pairs = keep(_cross_pairs(_with_sets(_apart(some, pivots, roots), sets, full), percent, tentative), "pairs")
-        more = keep(_verified(pairs, full, percent), "more")
-        met, found = pairs.count(), more.count()
+        pairs = keep(_cross_pairs(_comparable(_apart(some, roots), sets, full, percent), percent, tentative), "pairs")
+        met = pairs.count()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        more = keep(_verified(pairs, _few(full, ends) if 2 * met <= FEW else full, percent), "more")
+        found = more.count()
         if found:
             links = links.union(more)
         if met == found or not tentative:
             break
         failed = pairs.where(~F.col("sure")).join(more, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_anti").select("key").distinct()
-        some, pivots = keep(unsettled.join(failed, "key", "left_semi"), "again"), pivots.join(failed, "key", "left_semi")
+        some = keep(unsettled.join(failed, "key", "left_semi"), "again")
         tentative = 2 * found >= met  # else one last time, with all pairs that may link
     if found:
         roots = components(links, "all")

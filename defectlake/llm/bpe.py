@@ -28,7 +28,7 @@ from defectlake.llm import text as tx
 #: States, pairs and pieces that a Python worker keeps at most.
 MAX_STATES = 20_000
 MAX_PAIRS = 100_000
-MAX_PIECES = 250_000
+MAX_PIECES = 340_000
 #: Longer pieces are not kept.
 LONG_PIECE = 64
 
@@ -40,11 +40,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("final", "last", "moves", "pending", "tails")
+    __slots__ = ("final", "last", "live", "moves", "pending", "tails")
 
-    def __init__(self, last: int, pending: bytes, tails: list[int]):
-        #: tails[i]: last token of the encoding of the first i + 1 pending bytes.
-        self.last, self.pending, self.tails, self.moves, self.final = last, pending, tails, {}, None
+    def __init__(self, last: int, pending: bytes, tails: list[int], live: list[tuple[int, int]]):
+        #: tails[i]: last token of the encoding of the first i + 1 pending bytes. live: the pending places from which a token goes on, first ones first, each with its node.
+        self.last, self.pending, self.tails, self.live, self.moves, self.final = last, pending, tails, live, {}, None
 
 
 class Transducer:
@@ -69,21 +69,22 @@ class Transducer:
         #: The last merge of each such token, and what it gives; unless merges always come in the order of ranks, none are used.
         self.halves, self.joint = halves, {a << 32 | b: rank for rank, (a, b) in halves.items()}
         self.ordered = all(rank > max(pair) for rank, pair in halves.items())
-        #: A trie of them: node and byte to the next node; of each node the token that ends there, or -1, and whether it goes on.
-        self.trie: dict[int, int] = {}
-        self.token_at, self.open = array("i", (-1,)), bytearray(1)
+        #: A trie of them: node and byte to the next node, or to the inverted token where none is longer; of each node the token that ends there, or -1.
+        trie: dict[int, int] = {}
+        self.token_at, goes_on = array("i", (-1,)), bytearray(1)
         for token, rank in tokens.items():
             node = 0
             for byte in token:
-                self.open[node] = 1
-                node = self.trie.setdefault(node << 8 | byte, len(self.open))
-                if node == len(self.open):
+                goes_on[node] = 1
+                node = trie.setdefault(node << 8 | byte, len(goes_on))
+                if node == len(goes_on):
                     self.token_at.append(-1)
-                    self.open.append(0)
+                    goes_on.append(0)
             self.token_at[node] = rank
+        self.trie = {key: node if goes_on[node] else ~self.token_at[node] for key, node in trie.items()}
         self.states: dict[tuple[int, bytes], _State] = {}
         self.pairs: dict[int, bool] = {}
-        self.start = _State(-1, b"", [])
+        self.start = _State(-1, b"", [], [])
 
     def _merged(self, raw: bytes, last: list[bytes] | None = None) -> list[int]:
         """Plain merging by rank, for the short strings of one or two tokens; ``last`` gets the two parts of the last merge."""
@@ -129,43 +130,41 @@ class Transducer:
             else:
                 limit, b = b + 1, right[0]
 
-    def _node(self, raw: bytes) -> int:
-        """The node of some bytes that aren't empty; 0 if no token begins with them."""
-        node = 0
-        for byte in raw:
-            node = self.trie.get(node << 8 | byte)
-            if node is None:
-                return 0
-        return node
-
-    def _extend(self, last: int, pending: bytes, tails: list[int]) -> None:
-        """Adds the missing last tokens: one for each prefix of ``pending``.
-
-        ``live`` has the places where a token that goes on may begin, first ones first, each with its node.
-        """
-        step, token_at, goes_on, pair, n = self.trie.get, self.token_at, self.open, self.pairs.get, len(tails)
-        live = [(lo, node) for lo in range(max(0, n - self.longest), n) if (node := self._node(pending[lo:n])) and goes_on[node]]
-        for end in range(n, len(pending)):
+    def _extend(self, last: int, pending: bytes, tails: list[int], live: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Adds the missing last tokens, one for each prefix of ``pending``, and gives what ``live`` is then."""
+        step, token_at, pair = self.trie.get, self.token_at, self.pairs.get
+        for end in range(len(tails), len(pending)):
             byte = pending[end]
-            live.append((end, 0))
             reach, token = [], -1
             for lo, node in live:
                 node = step(node << 8 | byte)
                 if node is None:
                     continue
-                if goes_on[node]:
+                if node >= 0:
                     reach.append((lo, node))
-                if token < 0 <= (here := token_at[node]):
+                    here = token_at[node]
+                else:
+                    here = ~node
+                if token < 0 <= here:
                     before = tails[lo - 1] if lo else last
                     if before >= 0:
                         ok = pair(before << 32 | here)
                         if not (self._may_follow(before, here) if ok is None else ok):
                             continue
                     token = here
-            if token < 0:
+            node = step(byte)
+            if node is None:
                 raise ValueError("the vocabulary lacks a byte")
+            if node >= 0:
+                reach.append((end, node))
+                node = ~token_at[node]
+            if token < 0:  # no longer token may stand here, so the byte does
+                token = ~node
+                if token < 0:
+                    raise ValueError("the vocabulary lacks a byte")
             tails.append(token)
             live = reach
+        return live
 
     def _bounds(self, tails: list[int], end: int) -> list[int]:
         """The token boundaries of the encoding of the first ``end`` pending bytes, last first."""
@@ -177,20 +176,18 @@ class Transducer:
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple]:
         pending, tails = state.pending + bytes((byte,)), list(state.tails)
-        self._extend(state.last, pending, tails)
-        n = len(pending)
-        chain = self._bounds(tails, n)
+        live = self._extend(state.last, pending, tails, state.live)
+        chain = self._bounds(tails, len(pending))
         agreed = set(chain)
-        for i in range(max(0, n - self.longest), n):
-            if (node := self._node(pending[i:])) and self.open[node]:
-                agreed &= set(self._bounds(tails, i))
+        for lo, _ in live:
+            agreed &= set(self._bounds(tails, lo))
         cut = max(agreed)
         emitted = tuple(tails[b - 1] for b in reversed(chain) if 0 < b <= cut)
         last = emitted[-1] if emitted else state.last
         key = (last, pending[cut:])
         to = self.states.get(key)
         if to is None:
-            to = self.states[key] = _State(last, pending[cut:], tails[cut:])
+            to = self.states[key] = _State(last, pending[cut:], tails[cut:], [(lo - cut, node) for lo, node in live])
         move = state.moves[byte] = (to, emitted)
         return move
 
@@ -204,7 +201,7 @@ class Transducer:
             if move is None:
                 if len(self.states) >= MAX_STATES and len(piece) <= LONG_PIECE:
                     pending, tails = state.pending + piece[at:], list(state.tails)
-                    self._extend(state.last, pending, tails)
+                    self._extend(state.last, pending, tails, state.live)
                     out += [tails[b - 1] for b in reversed(self._bounds(tails, len(pending))) if b]
                     return out
                 move = self._move(state, byte)
@@ -213,7 +210,7 @@ class Transducer:
                 out += move[1]
         if len(self.states) > 2 * MAX_STATES:  # only long pieces get here
             self.states.clear()
-            self.start = _State(-1, b"", [])
+            self.start = _State(-1, b"", [], [])
         if state.final is None:
             state.final = tuple(state.tails[b - 1] for b in reversed(self._bounds(state.tails, len(state.pending))) if b)
         out += state.final

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from defectlake.llm import text as tx
 from defectlake.llm.components import REP_BYTES, components, node_of, rep_of
 from defectlake.llm.heavy import heavy_keys, sizes, spread_join, told_join
 from defectlake.llm.scratch import forget, keep
+from defectlake.llm.sieve import sieve
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -36,8 +38,6 @@ SLACK = 5.0
 BLOCK = 4096
 #: Hashes of a set, from the smallest up, that comparisons within a band value see.
 FINE = 1024
-#: Members whose nodes, 25 bytes each, are sent to all tasks.
-FEW = 100_000
 
 
 def _bit_length(x: np.ndarray) -> np.ndarray:
@@ -145,8 +145,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _both(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Kept ``pairs`` (a, b) with the row of each end."""
-    total = pairs.count()
+    """Kept ``pairs`` (a, b) with the row of each end; of ``left`` and ``right`` only rows of ends move."""
+    total, left, right = pairs.count(), sieve(left, pairs, "a"), sieve(right, pairs, "b")
     return spread_join(spread_join(pairs, left, "a", heavy_keys(sizes(pairs, "a"), "a", total), "b"), right, "b", heavy_keys(sizes(pairs, "b"), "b", total), "a")
 
 
@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, hashes) of each wanted set (node, rep), from one of the documents that have it; smallest hashes first."""
+    """(node, hashes) of each wanted set (node, rep; kept), from one of the documents that have it; smallest hashes first. Other texts don't move."""
 
     def rows_of(have: list, rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(have, pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["node", "hashes"])
@@ -198,10 +198,38 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     have, rows = [], []
             yield rows_of(have, rows)
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = sieve(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted, "doc_id", "rep")
     return texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("text", "node").mapInArrow(run, "node binary, hashes array<long>")
 
 
+class _FullSets:
+    """Full sets (node, hashes) by node, made when they are first wanted."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, k: int):
+        self.docs, self.reps, self.k, self.parts = docs, sets.select("node", "rep"), k, []
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """The sets made so far, those of ``nodes`` (node, repeated or not) among them."""
+        new = nodes.distinct()
+        for part in self.parts:
+            new = new.join(part.select("node"), "node", "left_anti")
+        new = keep(new, "new")
+        if new.count() or not self.parts:
+            wanted = keep(sieve(self.reps, new, "node").join(new, "node"), "wanted")
+            self.parts.append(keep(_full_sets(self.docs, wanted, self.k), "full"))
+            forget(wanted)
+        forget(new)
+        return self.made()
+
+    def made(self) -> DataFrame:
+        """All sets made so far."""
+        return reduce(DataFrame.union, self.parts)
+
+    def forget(self) -> None:
+        for part in self.parts:
+            forget(part)
+
+
 def _upper_halves(hashes: Column) -> Column:
     """The upper 32 bits of each hash, which move at half the size."""
     return F.transform(hashes, lambda x: F.shiftright(x, 32).cast("int"))
@@ -372,19 +400,12 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rest
 
 
-def _few(table: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``table`` of a few ``nodes``, which are sent to all tasks."""
-    return table.join(F.broadcast(nodes.distinct()), "node", "left_semi")
-
-
-def _comparable(rest: DataFrame, sets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Members that have a partner by their registers, with registers and smallest hashes. Where they are few, tables of sets are cut to theirs before they move."""
+def _comparable(rest: DataFrame, sets: DataFrame, full: _FullSets, percent: int) -> DataFrame:
+    """Members that have a partner by their registers, with registers and smallest hashes. Of tables of sets only rows of members move."""
     known = sets.select("node", "sketch", "n_shingles")
-    met = keep(_with_partners(rest.join(_few(known, rest.select("node")) if rest.count() <= FEW else known, "node"), percent), "met")
-    known = known.drop("n_shingles")
-    if met.count() <= FEW:
-        known, full = _few(known, met.select("node")), _few(full, met.select("node"))
-    return met.join(known, "node").join(full.select("node", _upper_halves(F.slice("hashes", 1, FINE)).alias("fine")), "node")
+    met = keep(_with_partners(rest.join(sieve(known, rest, "node"), "node"), percent), "met")
+    fine = sieve(full.of(met.select("node")), met, "node").select("node", _upper_halves(F.slice("hashes", 1, FINE)).alias("fine"))
+    return met.join(sieve(known.drop("n_shingles"), met, "node"), "node").join(fine, "node")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -406,18 +427,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     sets = keep(sets.select(node_of("rep", "print").alias("node"), "print", "rep", "n_shingles", "sketch"), "sets")
     bands = sets.select("node", F.col("n_shingles").alias("na"), F.posexplode("sketch").alias("band", "value")).where("value <> 0").select("node", "na", "band", F.xxhash64("band", "value").alias("key"))
     draw = F.xxhash64("key", "node")
-    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(draw).alias("low")).where("size > 1")
+    shared = keep(bands.groupBy("key").agg(F.count("*").alias("size"), F.min(draw).alias("low")).where("size > 1"), "shared")
     heavy = heavy_keys(shared.select("key", F.col("size").alias("n")), "key", BANDS * sets.count())
-    members = keep(told_join(bands, shared, "key", heavy).select("key", "node", "na", "band", "size", (draw == F.col("low")).alias("pivot")), "members")
+    members = keep(told_join(sieve(bands, shared, "key"), shared, "key", heavy).select("key", "node", "na", "band", "size", (draw == F.col("low")).alias("pivot")), "members")
+    forget(shared)
     pivots = members.where("pivot").select("key", F.col("node").alias("b"), F.col("na").alias("nb"))
     star = told_join(members.where(~F.col("pivot")).select("key", F.col("node").alias("a"), "na"), pivots, "key", heavy)
     star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))  # no intersection is larger than the smaller set
     star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star")
-    wanted = members.select("node").distinct().join(sets.select("node", "rep"), "node")
-    full = keep(_full_sets(docs, wanted, k), "full")
     likely = keep(_filtered(star, sets, percent), "likely")
     forget(star)
-    links = keep(_verified(likely, full, percent), "links")
+    full = _FullSets(docs, sets, k)
+    links = keep(_verified(likely, full.of(likely.select(F.explode(F.array("a", "b")).alias("node"))), percent), "links")
     forget(likely)
     unsettled = members.where("size > 2").select("key", "band", "node", "pivot")  # what a pivot was compared with is settled
     tentative, some = True, unsettled
@@ -425,8 +446,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         roots = keep(components(links, "near"), "roots")
         pairs = keep(_cross_pairs(_comparable(_apart(some, roots), sets, full, percent), percent, tentative), "pairs")
         met = pairs.count()
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        more = keep(_verified(pairs, _few(full, ends) if 2 * met <= FEW else full, percent), "more")
+        more = keep(_verified(pairs, full.made(), percent), "more")
         found = more.count()
         if found:
             links = links.union(more)
@@ -437,8 +457,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
         tentative = 2 * found >= met  # else one last time, with all pairs that may link
     if found:
         roots = components(links, "all")
-    for table in (full, members):
-        forget(table)
+    full.forget()
+    forget(members)
     of_set = sets.select("node", "print").join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select("print", rep_of(F.coalesce("root", "node")).alias("component_id"))
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", "print").join(of_set, "print", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "print")

@@ -133,11 +133,10 @@ def learn(measured: DataFrame, labels: DataFrame) -> Model:
     chance = F.pmod(F.xxhash64("doc_id", "quality", "x"), F.lit(1 << 30)) / F.lit(1 << 30)
     equal = labelled.groupBy("doc_id", "quality", "x").agg(F.count("*").alias("n"))
     equal = equal.withColumn("times", (F.floor(wanted) + (chance < wanted - F.floor(wanted)).cast("int")).cast("int"))
-    rows = equal.where("times > 0").select("x", "quality", "times").toPandas()
-    x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(MEASURES)))
-    order = np.lexsort([*x.T, rows["quality"].to_numpy()])  # rows come in any order
-    times = rows["times"].to_numpy()[order]
-    model = Model(np.repeat(x[order], times, 0), np.repeat(rows["quality"].to_numpy()[order], times))
+    rows = equal.where("times > 0").select("x", "quality", "times").toArrow()
+    x, quality, times = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(MEASURES)), rows["quality"].to_numpy(), rows["times"].to_numpy()
+    order = np.lexsort([*x.T, quality])  # rows come in any order
+    model = Model(np.repeat(x[order], times[order], 0), np.repeat(quality[order], times[order]))
     if 0 < bad < total:
         model.cut = _quantile(keep(_raw(labelled, model), "raw"), bad / total)
     return model

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from defectlake.llm import text as tx
-from defectlake.llm.scratch import keep
+from defectlake.llm.scratch import keep, narrow
 
 WINDOW_WORDS = 10
 #: More words among which a window's words count as near each other.
@@ -209,7 +209,10 @@ def _by_document(found: tuple, names: list, item: np.ndarray, doc_of: np.ndarray
 
 
 def _matched(postings: DataFrame, wanted: DataFrame, words: int, slop: int | None) -> DataFrame:
-    """(block, place, doc_id, n_words, matches, near) of every document of the index, for one block of items."""
+    """(block, place, doc_id, n_words, matches, near) of every document of the index, for one block of items.
+
+    A row of the index is about a MB, so it is read a few rows at a time, whatever a file or a partition has.
+    """
     vocabulary = wanted.select(F.explode("terms").alias("term")).distinct()
     counted = term_counts(postings, vocabulary).toArrow()
     lines = wanted.toArrow()
@@ -243,12 +246,15 @@ def _matched(postings: DataFrame, wanted: DataFrame, words: int, slop: int | Non
 
 def search(postings: DataFrame, benchmark: DataFrame, words: int = WINDOW_WORDS, slop: int | None = None) -> DataFrame:
     """What ``contamination`` gives, from an index that ``index`` made and something kept."""
+    spark = postings.sparkSession
+    postings = narrow(postings if hasattr(postings, "kept_at") else keep(postings, "postings", wide=True))
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // TEST_BLOCK_BYTES))
-    wanted = keep(item_terms(benchmark, words).withColumn("part", F.pmod(F.xxhash64("item_id", "terms"), F.lit(blocks))), "items")
-    every = None
+    items = keep(item_terms(benchmark, words).withColumn("part", F.pmod(F.xxhash64("item_id", "terms"), F.lit(blocks))), "items")
+    wanted, every = postings.sparkSession.read.schema(items.schema).parquet(items.kept_at), None
     for i in range(blocks):
-        part = _matched(postings, wanted.where(F.col("part") == i), words, slop)
+        found = keep(_matched(postings, wanted.where(F.col("part") == i), words, slop), "found")
+        part = spark.read.schema(found.schema).parquet(found.kept_at)
         every = part if every is None else every.union(part)
     if blocks > 1:
         both = [F.flatten(F.collect_list(c)).alias(c) for c in ("matches", "near")]
@@ -268,7 +274,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, words: int = WINDOW_WOR
     columns are ignored; no rows give no rows. The words of one block of items, TEST_BLOCK_BYTES
     of text, and their counts are held by the driver and each task.
     """
-    return search(keep(index(docs), "postings"), benchmark, words, slop)
+    return search(keep(index(docs), "postings", wide=True), benchmark, words, slop)
 
 
 def _items(spans: str):

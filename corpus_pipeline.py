@@ -66,7 +66,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     rows, row = _numbered(docs)
     found = decontaminate.contamination(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.size("matches") > 0).select(F.col("doc_id").alias(row))
+    hit = keep(found.where(F.size("matches") > 0).select(F.col("doc_id").alias(row)), "hit")  # of known size: where it is short, no text moves
     return rows.join(hit, row, "left_anti").select(*docs.columns)
 
 

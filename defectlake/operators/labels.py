@@ -89,3 +89,14 @@ def fixture_check(detections: DataFrame, expected: DataFrame) -> DataFrame:
     """Controlled cases (case_id, defect, expected_present) against detections of the same case."""
     found = detections.select(F.col("submission_id").alias("case_id"), "defect", "present")
     return expected.join(found, ["case_id", "defect"], "left").withColumn("passed", F.coalesce("present", F.lit(False)) == F.col("expected_present"))
+
+
+def cases_check(found: DataFrame, cases: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """What ``fixture_check`` gives for every wanted defect, from rows of ``detection.with_findings`` and cases (case_id, names of the defects that are expected).
+
+    Cases are joined before there is a row for each defect, so a case moves once.
+    """
+    held = found.select(F.col("submission_id").alias("case_id"), F.map_keys(F.map_filter("f.found", lambda k, v: F.size(v) > 0)).alias("found"))
+    each = cases.join(held, "case_id", "left").select("case_id", "names", "found", F.explode(F.array(*[F.lit(w) for w in wanted])).alias("defect"))
+    rows = each.select("case_id", "defect", F.array_contains("names", F.col("defect")).alias("expected_present"), F.array_contains("found", F.col("defect")).alias("present"))
+    return rows.withColumn("passed", F.coalesce("present", F.lit(False)) == F.col("expected_present"))
